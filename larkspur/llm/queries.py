@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, line_dedup, packing
+from . import chat_format, decontamination, language_id, line_dedup, packing, quality_rules
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.encode_rows(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_packing, op8_decontamination, op9_chat_format)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+_ALL = (op1_line_dedup, op2_quality_rules, op3_packing, op8_decontamination, op9_chat_format, op10_language_id)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _W = r"[\x20\x09-\x0D]"
 
