@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, line_dedup, packing, quality_rules
+from . import chat_format, decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -52,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
-_ALL = (op1_line_dedup, op2_quality_rules, op3_packing, op8_decontamination, op9_chat_format, op10_language_id)
+_ALL = (op1_line_dedup, op2_quality_rules, op3_packing, op5_jaccard_join, op8_decontamination, op9_chat_format, op10_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _W = r"[\x20\x09-\x0D]"
