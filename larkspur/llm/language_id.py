@@ -24,6 +24,7 @@ count each; other columns pass through, whatever they are called.
 from __future__ import annotations
 
 import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -231,7 +232,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float
     text = fresh(base, "li_text")
     base = base.withColumn(text, quoted(text_col).cast("string"))
     schema = T.StructType([*base.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in added)])
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    # Broadcasts are pickled by reference: only types that every worker has.
+    held = docs.sparkSession.sparkContext.broadcast(SimpleNamespace(langs=model.langs, score=model.score, barred=model.barred))
     span = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
     def run(batches):

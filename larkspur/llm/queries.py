@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules
+from . import chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, packing, quality_classifier
+from . import quality_rules, substring_dedup
 from .common import table
 
 
@@ -23,10 +24,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = quality_classifier.sites_of(table(spark, sf_dir, "pages"))
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sites)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -56,7 +70,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
-_ALL = (op1_line_dedup, op2_quality_rules, op3_packing, op5_jaccard_join, op8_decontamination, op9_chat_format, op10_language_id)
+_ALL = (
+    op1_line_dedup, op2_quality_rules, op3_packing, op4_substring_dedup, op5_jaccard_join, op6_quality_classifier,
+    op7_license_scan, op8_decontamination, op9_chat_format, op10_language_id,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _W = r"[\x20\x09-\x0D]"
