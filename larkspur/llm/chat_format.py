@@ -95,7 +95,7 @@ class Reader:
 
 
 def encode_rows(conversations: DataFrame, vocabulary: str | None = None, learnt_role: str = "assistant") -> DataFrame:
-    """conv_id, turn, role, text (both escaped) and piece (the row's ids, uint32 little-endian) and learnt, row by row."""
+    """conv_id, turn, role, text, piece (the row's ids, uint32 little-endian, made of the escaped role and text), loss_begin and loss_end, row by row."""
     vocabulary = vocabulary or default_vocabulary()
     rows = conversations.select(
         quoted("conv_id").cast("long").alias("conv_id"), quoted("turn").cast("long").alias("turn"),
@@ -169,7 +169,7 @@ def read_back(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def render(encoded: DataFrame) -> DataFrame:
     """conv_id and formatted: the rendered string of each conversation.  This holds each conversation in memory; read_back() does not."""
-    esc = lambda c: F.regexp_replace(c, r"<(\\*)\|", r"<$1\\\\|")
+    esc = lambda c: F.regexp_replace(c, r"<(\\*)\|", r"<$1\\|")
     turn = F.concat(F.lit(RESERVED_TEXT[0]), esc(F.col("role")), F.lit(RESERVED_TEXT[1]), esc(F.col("text")), F.lit(RESERVED_TEXT[2]))
     row = F.struct(F.col("turn").alias("a"), F.col("role").alias("b"), F.col("text").alias("c"), turn.alias("t"))
     return encoded.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r.t), "").alias("formatted"))

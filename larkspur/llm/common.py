@@ -10,6 +10,7 @@ import types
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that count as white space inside the contracts: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -55,6 +56,25 @@ def worker_cache(name: str, make):
     return getattr(held, name)
 
 
+def with_mapped(df: DataFrame, run, added: list[T.StructField]) -> DataFrame:
+    """`df` with further columns that `run` computes in Arrow batches.
+
+    run(batches) gives (batch, arrays of the added columns) by turns.  Columns go
+    by place on the way, so their names may be anything."""
+    width = len(df.columns)
+    fields = [*df.schema.fields, *added]
+    names = [f"c{i}" for i in range(len(fields))]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields)])
+
+    def packed(batches):
+        import pyarrow as pa
+
+        for batch, more in run(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
+
+    return df.toDF(*names[:width]).mapInArrow(packed, schema).toDF(*[f.name for f in fields])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; texts of ASCII alone take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

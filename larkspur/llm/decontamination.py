@@ -21,14 +21,12 @@ empty tables give no hits.
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, quoted
+from .common import fresh, quoted, with_mapped
 
 #: Bytes that are no part of a word become spaces, A-Z become a-z; all bytes from 0x80 on are word bytes.
 _TO_WORDS = bytes(
@@ -163,9 +161,8 @@ def _merged(cols: list[str]):
 
 
 def _search(df: DataFrame, held, text_col: str, runs: str, items: str, words_col: str, first: bool) -> DataFrame:
-    schema = T.StructType(list(df.schema.fields) + ([T.StructField(words_col, T.LongType())] if first else []) + [
-        T.StructField(runs, T.ArrayType(T.LongType())), T.StructField(items, T.ArrayType(T.StringType()))
-    ])
+    added = [T.StructField(words_col, T.LongType())] if first else []
+    added += [T.StructField(runs, T.ArrayType(T.LongType())), T.StructField(items, T.ArrayType(T.StringType()))]
     at = df.columns.index(text_col)
 
     def run(batches):
@@ -180,11 +177,6 @@ def _search(df: DataFrame, held, text_col: str, runs: str, items: str, words_col
                 all_runs.append(flat)
                 all_items.append(sorted(names))
             more = [pa.array(counts, pa.int64())] if first else []
-            more += [pa.array(all_runs, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[f.name for f in schema.fields])
-
-    return df.mapInArrow(run, schema)
-
+            yield batch, [*more, pa.array(all_runs, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string()))]
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return with_mapped(df, run, added)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, quoted, worker_cache
+from .common import fresh, quoted, with_mapped, worker_cache
 
 #: Code point ranges of scripts, from the Unicode block charts.  Letters outside are script 0.
 SCRIPT_RANGES = [
@@ -231,7 +231,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float
     base = docs.drop(*(n for n, _ in added))
     text = fresh(base, "li_text")
     base = base.withColumn(text, quoted(text_col).cast("string"))
-    schema = T.StructType([*base.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in added)])
+    fields = [T.StructField(n, T._parse_datatype_string(k)) for n, k in added]
     # Broadcasts are pickled by reference: only types that every worker has.
     held = docs.sparkSession.sparkContext.broadcast(SimpleNamespace(langs=model.langs, score=model.score, barred=model.barred))
     span = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
@@ -240,10 +240,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", switch: float
         for batch in batches:
             found = label_texts(held.value, batch.column(batch.num_columns - 1).to_pylist(), switch)
             spans = [[{"lang": a, "words": n} for a, n in x[2]] for x in found]
-            more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[f.name for f in schema.fields])
+            yield batch, [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(spans, span)]
 
-    return base.mapInArrow(run, schema).drop(text)
+    return with_mapped(base, run, fields).drop(text)
 
 
 def held_out(id_col: str = "doc_id"):
