@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import shared_folder, table
+from larkspur.llm.common import quoted, shared_folder, table
 from larkspur.llm.decontamination import decontaminate
 from larkspur.llm.jaccard_join import jaccard_classes
 from larkspur.llm.language_id import fit, held_out, predict
@@ -33,13 +33,13 @@ LEAST_SHARE = 0.4
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs.where(~held_out()))
     found = predict(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*map(quoted, docs.columns))
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup(docs)
     length = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", length).select(docs.columns)
+    return out.withColumn("n_chars", length).select(*map(quoted, docs.columns))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return out.where(~F.col("contaminated")).select(docs.columns)
+    return out.where(~F.col("contaminated")).select(*map(quoted, docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
