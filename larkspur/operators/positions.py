@@ -67,6 +67,12 @@ def radix_partition(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
     return df.repartition(parts, *map(column, keys))
 
 
+def merge_columns(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The columns of both tables side by side, row by row; rows that only one has are left out."""
+    a, b = add_indices(left, "merge__a"), add_indices(right, "merge__b")
+    return a.join(b, a["merge__a"] == b["merge__b"]).drop("merge__a", "merge__b")
+
+
 # -- heads ----------------------------------------------------------------------
 
 
@@ -91,6 +97,12 @@ def _gather_rows(engine, args) -> DataFrame:
     return out.orderBy("gather__at").drop("gather__at")
 
 
+@relation("MergeColumns")
+def _merge_columns(engine, args) -> DataFrame:
+    """MergeColumns(input, input): their columns side by side."""
+    return merge_columns(engine.frame(args[0]), engine.frame(args[1]))
+
+
 @relation("PartialTable")
 def _partial_table(engine, args) -> DataFrame:
     """PartialTable(Table(column(List(...)), ...), name): the column `name` holds

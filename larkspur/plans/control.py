@@ -299,14 +299,13 @@ def stop_tracking(engine, args):
     return True
 
 
-def scan_metrics(df: DataFrame) -> dict[str, int]:
-    """Runs the query, discarding its rows, and tells by scanned location the bytes of files read."""
-    df.write.format("noop").mode("overwrite").save()
-    out: dict[str, int] = {}
+def input_bytes(df: DataFrame) -> dict[str, int]:
+    """Bytes of each file that a query's scans may read, by path; nothing is run."""
+    spark, out = df.sparkSession, {}
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
     for path in df.inputFiles():
-        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        status = hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).getFileStatus(hadoop)
-        out[path] = int(status.getLen())
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out[path] = int(file.getFileSystem(conf).getFileStatus(file).getLen())
     return out
 
 

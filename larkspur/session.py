@@ -95,7 +95,11 @@ class Engine:
         e = normalise(e)
         for step in self.pipeline:
             e = normalise(step(e))
-        return self._evaluate(e)
+        out = self._evaluate(e)
+        if self.overhead is not None and isinstance(out, DataFrame):
+            for path, size in _control.input_bytes(out).items():
+                self.overhead[path] = self.overhead.get(path, 0) + size
+        return out
 
     def safe_evaluate(self, e):
         """Like evaluate(), but a failure becomes ErrorWhenEvaluatingExpression(expression, message)."""

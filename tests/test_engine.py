@@ -205,3 +205,54 @@ def test_span_sums(engine):
     for make in (lambda: r.randint(-(2**31), 2**31), lambda: r.randint(-(2**40), 2**40), r.random):
         values = [make() for _ in range(50)]
         assert rows(engine.evaluate(q.Group(q.Table(column("v", *values)), q.Sum(s.v))))[0][0] == pytest.approx(sum(values))
+
+
+def test_merge_and_append(engine):
+    a, b = q.Table(column("x", 1, 2, 3)), q.Table(column("y", "a", "b"))
+    assert sorted(rows(engine.evaluate(q.MergeColumns(a, b)))) == [(1, "a"), (2, "b")]
+    wide = q.Table(column("p", 7), column("r", 8))
+    assert sorted(rows(engine.evaluate(q.Append(a, wide)))) == [(1,), (2,), (3,), (7,)]
+
+
+def test_files(engine, spark, tmp_path):
+    from larkspur.sources.tables import file_length, whole_files
+
+    (tmp_path / "a.bin").write_bytes(b"12345")
+    (tmp_path / "b.bin").write_bytes(b"6")
+    (tmp_path / "c.bin").write_bytes(b"")
+    assert [file_length(spark, str(tmp_path / f)) for f in ("a.bin", "b.bin", "c.bin")] == [5, 1, 0]
+    assert sorted(bytes(r.content) for r in whole_files(spark, str(tmp_path)).collect()) == [b"12345", b"6"]
+    path = str(tmp_path / "t.parquet")
+    spark.range(100).repartition(3).write.parquet(path)
+    engine.evaluate(q.StartTrackingOverhead())
+    out = engine.evaluate(q.Gather(path, "parquet", q.List(q.List(0, 99)), q.List(s.id), q.IndexColumn(s.pos)))
+    assert sorted(r.pos for r in out.collect()) == [0, 99]
+    assert engine.evaluate(q.GetTotalOverhead()) > 0 and engine.evaluate(q.GetOverhead("nowhere")) == 0
+    engine.evaluate(q.StopTrackingOverhead())
+    assert engine.evaluate(q.ClearCaches()) is True and engine.evaluate(q.ResetEngines()) is True
+
+
+def test_positions_over_many_files(spark, tmp_path):
+    from larkspur.operators.positions import add_indices
+    from larkspur.sources.tables import with_positions
+
+    path = str(tmp_path / "many.parquet")
+    spark.range(1000).repartitionByRange(7, "id").sortWithinPartitions("id").write.parquet(path)
+    assert all(r.id == r.pos for r in with_positions(spark.read.parquet(path), "pos").collect())
+    assert all(r.id == 2 * r.n + 1 for r in add_indices(spark.range(1, 999, 2).repartition(5), "n", ["id"]).collect())
+
+
+def test_decoders(spark):
+    from larkspur.operators import codec
+
+    packed = spark.createDataFrame([(0b11_01_00_10,)], "word long")
+    four = packed.selectExpr("word", "explode(sequence(0, 3)) as i")
+    assert [r.v for r in codec.unpack_bits(four, "word", 2, "i", "v").orderBy("i").collect()] == [2, 0, 1, 3]
+    assert [r.v for r in codec.unpack_bits(spark.createDataFrame([(-1,)], "word long").selectExpr("word", "1 as i"), "word", 32, "i", "v").collect()] == [(1 << 32) - 1]
+    runs = spark.createDataFrame([(0, "a"), (2, "b"), (2, "never"), (5, "c")], "start long, value string").where("value <> 'never'")
+    at = spark.range(7).withColumnRenamed("id", "pos")
+    assert "".join(r.v for r in codec.decode_runs(at, "pos", runs, "start", "value", 7, "v").orderBy("pos").collect()) == "aabbbcc"
+    book = spark.createDataFrame([(0, "x"), (1, "y")], "code int, value string")
+    got = codec.decode_dictionary(spark.createDataFrame([(1,), (0,), (9,)], "c int"), "c", book, "code", "value", "v").collect()
+    assert sorted((r.c, r.v) for r in got) == [(0, "x"), (1, "y"), (9, None)]
+    assert [tuple(r) for r in codec.decode_sequence(spark, 5, -2, 3, "v").orderBy("pos").collect()] == [(0, 5), (1, 3), (2, 1)]
