@@ -17,13 +17,13 @@ A second sketch, dense, of some 2 bits for each shingle, screens the candidate
 pairs; what it leaves is verified on the texts' shingles.
 
 Copies and hot segments: documents with equal sets are one class, and only
-classes are joined.  In a group of up to `small` classes that share a segment
-every pair is a candidate.  A larger group is a star first: each class against
-the least one.  Only pairs that are still in different components after that are
-looked at, in blocks of bounded size, by the dense sketches and by the triangle
-inequality of the Jaccard distance.  So large groups of near copies need a
-number of comparisons in proportion to their size, and no link between different
-texts is lost.
+classes are joined.  The classes that share a segment are a group.  First every
+class of a group meets the group's least one only.  What is still in different
+components after that is compared within the group, in blocks of bounded size, by
+the dense sketches and by the triangle inequality of the Jaccard distance: first
+those that look nearest, at last whatever is still apart.  So groups of
+near copies need comparisons in proportion to their size, and no link between
+different texts is lost.  Groups of the same classes are looked at once.
 
 Scale: shingles never leave the task that reads the text.  Shuffled are the
 segment keys (16 bytes each, a third as many as shingles), one row per class and
@@ -42,23 +42,112 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_words, mix64, quoted, window_hashes, word_hashes
+from .common import checkpointed, forget_partitioning, mix64, quoted, worker_cache
 from .components import components
 
 #: Sizes from s to BAND * s are one band.
 BAND = 8
-#: Words taken at once; bounds a task's memory beside the longest single text.
-CHUNK_WORDS = 1 << 20
+#: Bytes of text worked on at once; bounds a task's memory beside the longest single text.
+CHUNK_BYTES = 1 << 21
+
+
+def _hash_tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random 64-bit value by byte, 0 for the six white bytes; which bytes are white."""
+    value = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    white = np.zeros(256, bool)
+    white[[9, 10, 11, 12, 13, 32]] = True
+    return value, white
+
+
+class Sets:
+    """Shingle sets of a run of texts: token[i] belongs to text doc[i]; by text sorted and distinct."""
+
+    def __init__(self, texts: list[bytes], k: int):
+        value, white = worker_cache("jaccard_tables", _hash_tables)
+        raw = np.frombuffer(b"\n".join([b"", *texts, b""]).lower(), np.uint8)
+        space = white[raw]
+        first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        last = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        self.n_texts = len(texts)
+        ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.empty(0, np.int64)
+        of = np.searchsorted(ends, first, "left").astype(np.int64)
+        if not len(first):
+            self.token, self.doc = np.empty(0, np.uint64), np.empty(0, np.int64)
+        else:
+            # A word's hash is a sum over its bytes, each weighted by its place.
+            size = last - first
+            at = np.flatnonzero(~space)
+            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+            place = np.arange(len(at)) - np.repeat(begin, size)
+            weight = np.cumprod(np.full(int(size.max()), 0xD1342543DE82EF95, np.uint64))
+            word = mix64(np.add.reduceat(value[raw[at]] * weight[place], begin) + size.astype(np.uint64))
+            odd = mix64(np.arange(77, 77 + k, dtype=np.uint64)) | np.uint64(1)
+            n = len(word)
+            token, doc = np.empty(0, np.uint64), np.empty(0, np.int64)
+            if n >= k:
+                total = np.zeros(n - k + 1, np.uint64)
+                for i in range(k):
+                    total += word[i : n - k + 1 + i] * odd[i]
+                whole = of[: n - k + 1] == of[k - 1 :]
+                token, doc = mix64(total[whole]), of[: n - k + 1][whole]
+            # Texts of fewer than k words: one shingle, told apart by its length.
+            count = np.bincount(of, minlength=self.n_texts)
+            start = np.concatenate([[0], np.cumsum(count)[:-1]])
+            short = np.flatnonzero((count > 0) & (count < k))
+            if len(short):
+                few = [int((word[start[d] : start[d] + count[d]] * odd[: count[d]]).sum(dtype=np.uint64)) for d in short.tolist()]
+                few = mix64(mix64(np.array(few, np.uint64)) + count[short].astype(np.uint64))
+                token, doc = np.concatenate([token, few]), np.concatenate([doc, short])
+            order = np.argsort(token)
+            # A stable sort of 16-bit numbers is a radix sort.
+            order = order[np.argsort(doc[order].astype(np.uint16) if self.n_texts < 65536 else doc[order], kind="stable")]
+            token, doc = token[order], doc[order]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+            self.token, self.doc = token[new], doc[new]
+        self.size = np.bincount(self.doc, minlength=self.n_texts)
+        self.start = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
+
+    def prints(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit prints of each set, 0 for the empty one."""
+        out = []
+        some = self.size > 0
+        for salt in (0, 0x77):
+            p = np.zeros(self.n_texts, np.uint64)
+            if some.any():
+                p[some] = np.add.reduceat(mix64(self.token ^ np.uint64(salt)), self.start[:-1][some])
+            out.append(p.view(np.int64))
+        return out[0], out[1]
+
+    def only(self, chosen: np.ndarray) -> "Sets":
+        """The sets of the chosen texts (a mask); others become empty."""
+        out = object.__new__(Sets)
+        mine = chosen[self.doc]
+        out.token, out.doc, out.n_texts = self.token[mine], self.doc[mine], self.n_texts
+        out.size = np.where(chosen, self.size, 0)
+        out.start = np.concatenate([[0], np.cumsum(out.size)]).astype(np.int64)
+        return out
+
+    def set_of(self, i: int) -> np.ndarray:
+        return self.token[self.start[i] : self.start[i + 1]]
+
+
+def _chunks(texts: list[str | None]):
+    """(first, texts as bytes) of some CHUNK_BYTES; nulls are empty."""
+    held, first, size = [], 0, 0
+    for i, t in enumerate(texts):
+        held.append(t.encode("utf-8", "surrogatepass") if t else b"")
+        size += len(held[-1])
+        if size >= CHUNK_BYTES:
+            yield first, held
+            held, first, size = [], i + 1, 0
+    if held:
+        yield first, held
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the runs of k words."""
-    return np.unique(window_hashes(word_hashes(lower_words(text)), k))
-
-
-def _sets(texts: list[str | None], k: int):
-    for t in texts:
-        yield shingle_set(t, k)
+    return Sets([t for _, some in _chunks([text]) for t in some], k).token
 
 
 def _band(n: int) -> int:
@@ -71,7 +160,10 @@ def _band(n: int) -> int:
 
 
 def _segments(band: int) -> int:
-    return BAND ** (band + 1) * 3 // 2
+    """Segments of a band's sketch.  The pigeonhole needs a set to lie in more
+    than d segments.  From 4096 segments on, and in the lowest band, where a few
+    shingles must not meet, from 2^39, that fails less often than 64-bit hashes collide."""
+    return max(4096, BAND ** (band + 1) * 3 // 2) if band else 1 << 39
 
 
 def most_different(a: int, b: int, need: int, of: int = 100) -> int:
@@ -80,36 +172,58 @@ def most_different(a: int, b: int, need: int, of: int = 100) -> int:
     return a + b - 2 * least
 
 
-def _largest_partner(n: int, need: int, of: int = 100) -> int:
-    return n * of // need
-
-
-def segment_keys(tokens: np.ndarray, band: int, count: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Keys of the first `count` segments of the sketch of `band`, in the common order."""
-    m = np.uint64(_segments(band))
-    spread = mix64(tokens)
-    segment = spread % m
-    order = np.argsort(segment, kind="stable")
-    segment, spread = segment[order], spread[order]
-    first = np.flatnonzero(np.diff(segment, prepend=np.uint64(0xFFFFFFFFFFFFFFFF)) != 0)
+def segment_keys(sets: Sets, bands: np.ndarray, counts: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text): for each text the keys of the first `counts` segments, in the
+    common order, of its sketch of its band; segments that tie with the last of these as well."""
+    if not len(sets.token):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    doc = sets.doc
+    of_band = np.array([_segments(b) for b in range(int(bands.max()) + 1)], np.uint64)
+    spread = mix64(sets.token)
+    segment = spread % of_band[bands[doc]]
+    # Texts are few and segments below 2^40, so both fit one number.
+    both = (doc.astype(np.uint64) << np.uint64(40)) | segment
+    order = np.argsort(both)
+    both, spread = both[order], spread[order]
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
     bits = np.bitwise_xor.reduceat(mix64(spread ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
-    key = mix64(bits ^ mix64(segment[first] * np.uint64(64) + np.uint64(band)))
+    owner = doc[order][first]
+    key = mix64(bits ^ mix64((both[first] & np.uint64((1 << 40) - 1)) * np.uint64(64) + bands[owner].astype(np.uint64)))
+    hot = np.zeros(len(key), np.uint64)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens[order]), len(frequent) - 1)
-        hot = np.where(frequent[at] == tokens[order], rank[at], 0)
-        by = np.lexsort((key, np.minimum.reduceat(hot, first)))
-        return key[by[:count]]
-    return key if len(key) <= count else np.partition(key, count - 1)[:count]
+        known = worker_cache("jaccard_filter", dict)
+        if known.get("of") is not frequent:
+            table = np.zeros(1 << 22, bool)
+            table[(frequent >> np.uint64(42)).astype(np.int64)] = True
+            known.update(of=frequent, table=table)
+        token = sets.token[order]
+        heat = np.zeros(len(token), np.uint64)
+        maybe = np.flatnonzero(known["table"][(token >> np.uint64(42)).astype(np.int64)])
+        where = np.minimum(np.searchsorted(frequent, token[maybe]), len(frequent) - 1)
+        heat[maybe] = np.where(frequent[where] == token[maybe], rank[where], 0)
+        hot = np.minimum.reduceat(heat, first)
+    by = (owner.astype(np.uint64) << np.uint64(44)) | (hot << np.uint64(38)) | (key >> np.uint64(26))
+    order = np.argsort(by)
+    by, key, owner = by[order], key[order], owner[order]
+    size = np.bincount(owner, minlength=sets.n_texts)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    keep = np.arange(len(key)) - begin[owner] < counts[owner]
+    while (more := np.flatnonzero(~keep[1:] & keep[:-1] & (by[1:] == by[:-1]))).size:
+        keep[more + 1] = True
+    return key[keep], owner[keep]
 
 
 def dense_bits(n: int) -> int:
-    """Bits of the dense sketch for sets that a set of n may link with: the same over wide size ranges."""
+    """Bits of the dense sketch of a set of n, a power of two."""
     return max(64, 1 << (2 * n - 1).bit_length())
 
 
-def dense_sketch(tokens: np.ndarray, bits: int) -> np.ndarray:
-    at = (mix64(tokens ^ np.uint64(0x3C3C3C3C3C3C3C3C)) % np.uint64(bits)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8))
+def dense_sketches(sets: Sets) -> list[bytes]:
+    bits = np.array([dense_bits(n) if n else 0 for n in sets.size.tolist()], np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    at = base[sets.doc] + (mix64(sets.token ^ np.uint64(0x3C3C3C3C3C3C3C3C)) & (bits[sets.doc] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(base[-1])) & 1).astype(np.uint8)).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
 
 
 def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
@@ -119,59 +233,46 @@ def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def _frequent(texts: DataFrame, k: int, least_in_chunk: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many documents hold, and ranks that grow with their number.
-
-    Each run of texts that a task takes at once tells which shingles it holds
-    `least_in_chunk` times; the sums over all runs count.  These only order
-    segments, so `most` bounds the list without touching any result.
-    """
+def _sketched(texts: DataFrame, k: int, least_in_chunk: int) -> DataFrame:
+    """kind 0: doc_id, n, f1, f2 (a 128-bit print of the set) and the dense sketch,
+    row by row.  kind 1: shingles (f1) that a run of texts holds n times, at least `least_in_chunk`."""
 
     def run(batches):
+        names = ["kind", "doc_id", "n", "f1", "f2", "dense"]
         for batch in batches:
-            held, size = [], 0
-
-            def told(held):
-                value, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                keep = n >= least_in_chunk
-                return pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
-
-            for s in _sets(batch.column(0).to_pylist(), k):
-                held.append(s)
-                size += len(s)
-                if size > CHUNK_WORDS:
-                    yield told(held)
-                    held, size = [], 0
-            yield told(held)
-
-    counts = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = counts.orderBy(F.desc("n"), "h").limit(most).collect()
+            ids = batch.column(0)
+            for first, some in _chunks(batch.column(1).to_pylist()):
+                sets = Sets(some, k)
+                f1, f2 = sets.prints()
+                m = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(m, np.int32)), ids.slice(first, m), pa.array(sets.size.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(dense_sketches(sets), pa.binary())],
+                    names=names,
+                )
+                value, n = np.unique(sets.token, return_counts=True)
+                value, n = value[n >= least_in_chunk], n[n >= least_in_chunk]
+                m = len(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(n.astype(np.int64)), pa.array(value.view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.binary())],
+                    names=names,
+                )
+
+    return texts.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, f1 long, f2 long, dense binary")
+
+
+def _frequent(told: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents hold, and ranks that grow with their number.
+
+    The sums over all runs of texts count.  These only order segments, so `most`
+    bounds the list without touching any result."""
+    counts = told.groupBy("f1").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = counts.orderBy(F.desc("n"), "f1").limit(most).collect()
     value = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    rank = np.array([int(r[1]).bit_length() for r in rows], np.int64)
+    rank = np.array([min(63, int(r[1]).bit_length()) for r in rows], np.uint64)
     by = np.argsort(value)
     return value[by], rank[by]
 
 
-def _sketched(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, f1, f2 (a 128-bit print of the set) and the dense sketch, row by row."""
-
-    def run(batches):
-        for batch in batches:
-            n, f1, f2, dense = [], [], [], []
-            for s in _sets(batch.column(1).to_pylist(), k):
-                n.append(len(s))
-                with np.errstate(over="ignore"):
-                    f1.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)))
-                    f2.append(int(mix64(s ^ np.uint64(0x77)).sum(dtype=np.uint64).view(np.int64)))
-                dense.append(dense_sketch(s, dense_bits(len(s))).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(dense, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "dense"],
-            )
-
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, dense binary")
-
-
 def _emit_keys(texts: DataFrame, k: int, need: int, frequent) -> DataFrame:
     """(key, f1): the segments by which a set is found."""
     held = texts.sparkSession.sparkContext.broadcast(frequent)
@@ -179,230 +280,267 @@ def _emit_keys(texts: DataFrame, k: int, need: int, frequent) -> DataFrame:
     def run(batches):
         value, rank = held.value
         for batch in batches:
-            keys, prints, size, seen = [], [], 0, set()
-            out = lambda: pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()), pa.array(np.concatenate(prints) if prints else [], pa.int64())],
-                names=["key", "f1"],
-            )
-            for s in _sets(batch.column(0).to_pylist(), k):
-                n = len(s)
-                if not n:
-                    continue
-                f1 = int(mix64(s).sum(dtype=np.uint64).view(np.int64))
-                if f1 in seen:  # a copy in the same run of texts
-                    continue
-                seen.add(f1)
-                band = _band(n)
-                some = [segment_keys(s, band, most_different(n, _largest_partner(n, need), need) + 1, value, rank)]
-                smallest = -(-need * n // 100)
-                if band and _band(max(1, smallest)) < band:
-                    some.append(segment_keys(s, band - 1, most_different(n, n, need) + 1, value, rank))
-                for x in some:
-                    keys.append(x)
-                    prints.append(np.full(len(x), f1, np.int64))
-                    size += len(x)
-                if size > CHUNK_WORDS:
-                    yield out()
-                    keys, prints, size = [], [], 0
-            yield out()
+            for _, some in _chunks(batch.column(0).to_pylist()):
+                sets = Sets(some, k)
+                f1, _ = sets.prints()
+                # Of copies in one run of texts the first stands for all.
+                chosen = np.zeros(len(some), bool)
+                chosen[np.unique(f1, return_index=True)[1]] = True
+                chosen &= sets.size > 0
+                sets = sets.only(chosen)
+                n = sets.size.tolist()
+                bands = np.array([_band(x) if x else 0 for x in n], np.int64)
+                counts = np.array([most_different(x, x * 100 // need, need) + 1 if x else 0 for x in n], np.int64)
+                keys, owner = segment_keys(sets, bands, counts, value, rank)
+                # Those that may link with a smaller set in the band below are found there as well.
+                lower = np.array([x > 0 and b > 0 and _band(max(1, -(-need * x // 100))) < b for x, b in zip(n, bands.tolist())], bool)
+                counts = np.array([most_different(x, x, need) + 1 if x else 0 for x in n], np.int64)
+                more, more_owner = segment_keys(sets.only(lower), np.maximum(bands - 1, 0), counts, value, rank)
+                keys, owner = np.concatenate([keys, more]), np.concatenate([owner, more_owner])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(f1[owner])], names=["key", "f1"])
 
     return texts.select("text").mapInArrow(run, "key long, f1 long")
 
 
-def _group_pairs(keys: DataFrame, small: int) -> DataFrame:
-    """(a, b, key): pairs a < b of prints that share a key.  key is null for
-    pairs of a small group; in a large one a is its least print, and key tells the group."""
+def _group_pairs(keys: DataFrame) -> DataFrame:
+    """(lead, f1, grp): for each key that several sets share, its least print with each other one; grp tells the key."""
 
     def run(batches):
-        tail: list[int] = []  # prints of the last group, up to small + 1 of them
-        tail_key, big_lead = None, None
-        a_out: list = []
-        b_out: list = []
-        k_out: list = []
-
-        def close():
-            nonlocal tail, big_lead
-            if big_lead is None and len(tail) > 1:
-                v = np.array(tail, np.int64)
-                i, j = np.triu_indices(len(v), 1)
-                a_out.append(v[i]); b_out.append(v[j]); k_out.append(np.zeros(len(i), np.int64))  # noqa: E702
-            tail, big_lead = [], None
-
-        def extend(prints: np.ndarray, key):
-            nonlocal tail, big_lead
-            if tail and len(prints) and prints[0] == tail[-1]:
-                prints = prints[1:]
-            if not len(prints):
-                return
-            if big_lead is None:
-                if len(tail) + len(prints) <= small:
-                    tail += prints.tolist()
-                    return
-                prints = np.concatenate([np.array(tail, np.int64), prints])
-                big_lead, prints = int(prints[0]), prints[1:]
-            tail = [int(prints[-1])]
-            a_out.append(np.full(len(prints), big_lead, np.int64)); b_out.append(prints); k_out.append(np.full(len(prints), key | 1, np.int64))  # noqa: E702
+        # What is held back of the key that may go on: its least print and its latest one.
+        open_key = lead = latest = None
+        held: list = []
+
+        def work(key, f):
+            nonlocal open_key, lead, latest
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (f[1:] != f[:-1])
+            if open_key is not None and key[0] == open_key and f[0] == latest:
+                new[0] = False
+            key, f = key[new], f[new]
+            if not len(key):
+                return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+            begins = np.ones(len(key), bool)
+            begins[1:] = key[1:] != key[:-1]
+            leads = f[np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))]
+            if open_key is not None and key[0] == open_key:
+                same = key == open_key
+                leads = np.where(same, lead, leads)
+                begins[0] = False
+            open_key, lead, latest = key[-1], leads[-1], f[-1]
+            member = ~begins
+            return leads[member], f[member], key[member]
 
         def give():
-            cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-            a, b, g = cat(a_out), cat(b_out), cat(k_out)
-            a_out.clear(); b_out.clear(); k_out.clear()  # noqa: E702
-            # Within a batch the same pair comes from many keys.
-            plain = g == 0
-            pair = np.unique(np.stack([a[plain], b[plain]]), axis=1) if plain.any() else np.empty((2, 0), np.int64)
-            a, b, g = np.concatenate([pair[0], a[~plain]]), np.concatenate([pair[1], b[~plain]]), np.concatenate([np.zeros(pair.shape[1], np.int64), g[~plain]])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(g)], names=["a", "b", "grp"])
+            if not held:
+                return None
+            out = work(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["lead", "f1", "grp"])
 
+        size = 0
         for batch in batches:
-            key, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            fresh_row = np.ones(len(key), bool)
-            fresh_row[1:] = (key[1:] != key[:-1]) | (f[1:] != f[:-1])
-            key, f = key[fresh_row], f[fresh_row]
-            first = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if key[0] > -(1 << 63) else key[0] + 1) != 0)
-            end = np.append(first[1:], len(key))
-            # Only groups of two or more, the first (it may go on from before) and the last (it may go on) matter.
-            some = np.flatnonzero(end - first > 1).tolist()
-            for g in dict.fromkeys([0, *some, len(first) - 1]):
-                k = int(key[first[g]])
-                if k != tail_key:
-                    close()
-                    tail_key = k
-                extend(f[first[g] : end[g]], k)
-            yield give()
-        close()
-        yield give()
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+                size += batch.num_rows
+            if size > 400_000:
+                yield give()
+                size = 0
+        if (last := give()) is not None:
+            yield last
 
     ordered = keys.repartition("key").sortWithinPartitions("key", "f1")
-    return ordered.mapInArrow(run, "a long, b long, grp long")
+    return ordered.mapInArrow(run, "lead long, f1 long, grp long")
 
 
 def _screen(pairs: DataFrame, classes: DataFrame, need: int) -> DataFrame:
-    """(a, b) that sizes and dense sketches leave, a's and b's representatives with them."""
-    side = lambda x: classes.select(F.col("f1").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("dense").alias(f"d_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where((F.col("n_a") * 100 >= F.col("n_b") * need) & (F.col("n_b") * 100 >= F.col("n_a") * need) & (F.col("rep_a") != F.col("rep_b")))
+    """(rep_a, rep_b), rep_a < rep_b, that sizes and dense sketches leave of pairs (a, b) of representatives."""
+    side = lambda x: classes.select(F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("dense").alias(f"d_{x}"))
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("rep_a"), F.greatest("a", "b").alias("rep_b")).distinct()
+    both = pairs.join(side("a"), "rep_a").join(side("b"), "rep_b")
+    both = both.where((F.col("n_a") * 100 >= F.col("n_b") * need) & (F.col("n_b") * 100 >= F.col("n_a") * need))
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
             keep = []
-            for da, db, na, nb in zip(*cols):
+            for da, db, na, nb in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 x, y = np.frombuffer(da, np.uint8), np.frombuffer(db, np.uint8)
                 size = min(len(x), len(y))
-                apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
-                keep.append(apart <= most_different(na, nb, need))
+                keep.append(int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()) <= most_different(na, nb, need))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(4).filter(mask), batch.column(5).filter(mask)], names=["rep_a", "rep_b"])
 
     return both.select("d_a", "d_b", "n_a", "n_b", "rep_a", "rep_b").mapInArrow(run, "rep_a long, rep_b long").distinct()
 
 
+#: Bits of the map that screens texts before they travel: a fixed size, whatever the input.
+MAP_BITS = 1 << 20
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(rep_a, rep_b, i, u): exact intersection and union sizes of pairs of representatives."""
-    need = pairs.select(F.col("rep_a").alias("doc_id")).unionByName(pairs.select(F.col("rep_b").alias("doc_id"))).distinct()
-    some = checkpointed(texts.join(need, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"))
+    """(rep_a, rep_b, i, u): exact intersection and union sizes of pairs of
+    representatives, by their texts; several rows where an id has several texts.
+
+    Only texts that a map of hashed ids lets through are dealt out; the map has
+    MAP_BITS places at most, and where it is full it lets everything through."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    ids = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep"))
+    wanted = F.broadcast(ids.select(place("rep").alias("place")).distinct())
+    some = texts.join(wanted, place("doc_id") == F.col("place"), "left_semi")
+    some = some.groupBy("doc_id").agg(F.collect_set("text").alias("own")).select("doc_id", F.explode("own").alias("text"))
     side = lambda x: some.select(F.col("doc_id").alias(f"rep_{x}"), F.col("text").alias(f"t_{x}"))
 
     def run(batches):
         last, held = None, None
         for batch in batches:
             inter, union = [], []
-            a_ids = batch.column(0).to_pylist()
-            for a, ta, tb in zip(a_ids, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if a != last or held is None:
-                    last, held = a, shingle_set(ta, k)
-                other = shingle_set(tb, k)
-                i = len(np.intersect1d(held, other, assume_unique=True))
-                inter.append(i)
-                union.append(len(held) + len(other) - i)
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for first, group in _chunks(right):
+                sets = Sets(group, k)
+                for j in range(len(group)):
+                    i = first + j
+                    if held is None or left[i] != last:
+                        last, held = left[i], shingle_set(left[i], k)
+                    other = sets.set_of(j)
+                    at = np.minimum(np.searchsorted(held, other), max(0, len(held) - 1))
+                    same = int((held[at] == other).sum()) if len(held) else 0
+                    inter.append(same)
+                    union.append(len(held) + len(other) - same)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["rep_a", "rep_b", "i", "u"])
 
     both = pairs.join(side("b"), "rep_b").join(side("a"), "rep_a").select("rep_a", "rep_b", "t_a", "t_b")
     return both.mapInArrow(run, "rep_a long, rep_b long, i long, u long")
 
 
-def _block_pairs(members: DataFrame, need: int, block: int, best_only: bool) -> DataFrame:
-    """(a, b) of representatives in one large group that may link and are in
-    different components.  members: grp, n_grp, rep, n, dense, comp, dist (Jaccard
-    distance to the group's least member).  Blocks of some `block` members meet pairwise."""
-    blocks = F.ceil(F.col("n_grp") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = members.withColumn("nb", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "n", "dense", "comp", "dist")
-
-    def compare(pdf):
-        import pandas as pd
-
-        left = pdf[pdf.own == pdf.p.iloc[0]]
-        right = pdf[pdf.own == pdf.q.iloc[0]]
-        size = min(map(len, pdf.dense))
-        bits = lambda x: np.stack([_fold(np.frombuffer(d, np.uint8), size) for d in x.dense])
-        a_out, b_out, h_out = [], [], []
-        if len(left) and len(right):
-            rb, rn, rc, rd, rr = bits(right), right.n.to_numpy(), right.comp.to_numpy(), right.dist.to_numpy(), right.rep.to_numpy()
-            for x, n, c, d, r in zip(bits(left), left.n, left.comp, left.dist, left.rep):
-                # Sizes, components and the triangle inequality first.
-                at = np.flatnonzero((rc != c) & (rr != r) & (rn * 100 >= n * need) & (n * 100 >= rn * need) & ~(np.abs(rd - d) > 1 - need / 100 + 1e-9))
-                if not len(at):
-                    continue
-                apart = np.bitwise_count(rb[at] ^ x).sum(1, dtype=np.int64)
-                least = -(-need * (rn[at] + n) // (100 + need))
-                ok = apart <= rn[at] + n - 2 * least
-                at, apart = at[ok], apart[ok]
-                if best_only and len(at):
-                    by = np.lexsort((apart, rc[at]))
-                    one = by[np.diff(rc[at][by], prepend=rc[at][by][0] - 1) != 0]
-                    at = at[one]
-                a_out += [r] * len(at)
-                b_out += rr[at].tolist()
-        return pd.DataFrame({"rep_a": np.minimum(a_out, b_out).astype(np.int64), "rep_b": np.maximum(a_out, b_out).astype(np.int64)})
-
-    return rows.groupBy("grp", "p", "q").applyInPandas(compare, "rep_a long, rep_b long").distinct()
+def _alike(part, n, comp, dist, rep, dense: list[bytes], need: int, how: str):
+    """(rep_a, rep_b) of one block pair: members of the lower part with members of the higher one."""
+    to = min(map(len, dense))
+    x, y = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+    may = (comp[x, None] != comp[y]) & (n[x, None] * 100 >= n[y] * need) & (n[y] * 100 >= n[x, None] * need)
+    may &= ~(np.abs(dist[x, None] - dist[y]) > 1 - need / 100 + 1e-9)
+    u, v = np.nonzero(may)
+    if not len(u):
+        return u, v
+    u, v = x[u], y[v]
+    used = np.unique(np.concatenate([u, v]))
+    place = np.zeros(len(n), np.int64)
+    place[used] = np.arange(len(used))
+    bits = np.stack([_fold(np.frombuffer(dense[i], np.uint8), to) for i in used.tolist()]).view(np.uint64)
+    step = max(1, (1 << 20) // bits.shape[1])
+    apart = np.concatenate([np.bitwise_count(bits[place[u[i : i + step]]] ^ bits[place[v[i : i + step]]]).sum(1, dtype=np.int64) for i in range(0, len(u), step)])
+    both = n[u] + n[v]
+    ok = apart <= both - 2 * -(-need * both // (100 + need))
+    u, v, apart = u[ok], v[ok], apart[ok]
+    if how == "few" and len(u):  # the two nearest of each
+        order = np.lexsort((apart, u))
+        u, v = u[order], v[order]
+        new = np.concatenate([[True], u[1:] != u[:-1]])
+        new = new | np.concatenate([[False], new[:-1]])
+        u, v = u[new], v[new]
+    return rep[u], rep[v]
+
+
+def _block_pairs(members: DataFrame, need: int, block: int, how: str) -> DataFrame:
+    """(rep_a, rep_b) of representatives in one group that may link and are in
+    different components: of each the two that look nearest ("few"), or all.
+    members: grp, n_grp, rep, n, dense, comp, dist.
+
+    Members of like size meet, those from 2^c on in class c, and those that may
+    link with smaller ones in class c - 1 as well; within a class, blocks of some
+    `block` members meet pairwise."""
+    size = F.floor(F.log2("n") + 1e-12).cast("int")
+    lower = F.ceil(F.col("n") * need / 100) < F.pow(F.lit(2.0), size)
+    rows = members.withColumn("cls", F.explode(F.when(lower & (size > 0), F.array(size, size - 1)).otherwise(F.array(size))))
+    blocks = F.ceil((F.col("n_grp") + 1) / F.lit(block)).cast("int")
+    rows = rows.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dist = F.coalesce("dist", F.lit(float("nan")))
+    rows = rows.select("grp", "cls", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "n", "comp", dist.alias("dist"), "dense")
+    key = ["grp", "cls", "p", "q"]
+
+    def run(batches):
+        held: list = []  # the group that the last batch ended in
+
+        def settle(columns, dense, out):
+            if len(dense) > 1:
+                out.append(_alike(*columns, dense, need, how))
+
+        def give(out):
+            a, b = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], names=["rep_a", "rep_b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([table.column(k).to_numpy() for k in key])
+            first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+            out: list = []
+            if len(first) > 1:
+                columns = [table.column(c).to_numpy() for c in ("own", "n", "comp", "dist", "rep")]
+                dense = table.column("dense").to_pylist()
+                for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+                    settle([c[i:j] for c in columns], dense[i:j], out)
+                held = table.slice(int(first[-1])).to_batches()
+            yield give(out)
+        out = []
+        if held:
+            table = pa.Table.from_batches(held)
+            settle([table.column(c).to_numpy() for c in ("own", "n", "comp", "dist", "rep")], table.column("dense").to_pylist(), out)
+        yield give(out)
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "rep_a long, rep_b long").distinct()
 
 
 def jaccard_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, need: int = 75, small: int = 16, block: int = 512,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, need: int = 75, block: int = 512,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `docs`.  Documents
     link when 100 * |A & B| >= need * |A | B|; component_id is the least id reachable."""
     texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
-    rows = checkpointed(_sketched(texts, k))
-    classes = checkpointed(
-        rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("dense").alias("dense"))
-    )
-    frequent = _frequent(texts, k, 4, 32, 1 << 18)
-    pairs = checkpointed(_group_pairs(_emit_keys(texts, k, need, frequent), small))
-
-    candidates = _screen(pairs.select("a", "b").distinct(), classes, need)
-    links = checkpointed(_verify(checkpointed(candidates), texts, k))
+    told = checkpointed(_sketched(texts, k, 4))
+    rows = told.where("kind = 0").drop("kind")
+    known = rows.where("n > 0 and doc_id is not null")
+    classes = checkpointed(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("dense").alias("dense")))
+    frequent = _frequent(told.where("kind = 1"), 32, 1 << 18)
+    stars = checkpointed(_group_pairs(_emit_keys(texts, k, need, frequent)))
+
+    # Prints become representatives (two classes of one print would both be taken).
+    rep = classes.select("f1", "rep")
+    stars = stars.join(rep, "f1").select("lead", "grp", "rep").join(rep.select(F.col("f1").alias("lead"), F.col("rep").alias("lead_rep")), "lead").select("lead_rep", "rep", "grp")
+    stars = checkpointed(stars)
+    # Groups of the same classes are one; its number is made of its members.
+    low, high = F.xxhash64("rep").bitwiseAND((1 << 32) - 1), F.shiftrightunsigned(F.xxhash64("rep"), 32)
+    shape = stars.groupBy("grp").agg(F.count(F.lit(1)).alias("n_grp"), F.sum(low).alias("low"), F.sum(high).alias("high"), F.min("lead_rep").alias("lead_rep"))
+    shape = checkpointed(shape.groupBy("n_grp", "low", "high", "lead_rep").agg(F.min("grp").alias("grp")).select("grp", "n_grp"))
+
+    candidates = checkpointed(_screen(stars.select(F.col("lead_rep").alias("a"), F.col("rep").alias("b")), classes, need))
+    links = checkpointed(_verify(candidates, texts, k))
     linked = lambda x: x.where(F.col("i") * 100 >= F.col("u") * need).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # Rows of one id with different texts are one document.
-    same_id = rows.where("n > 0 and doc_id is not null").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
-    same_id = same_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    edges = linked(links).unionByName(same_id)
-    comp = components(edges)
-
-    big = pairs.where("grp <> 0")
-    if not big.isEmpty():
-        member = classes.select("f1", "rep", "n", "dense")
-        # Members of large groups: the least one, and those that star pairs name.
-        led = big.select("grp", F.col("a").alias("f1"), F.col("a").alias("lead")).unionByName(big.select("grp", F.col("b").alias("f1"), F.col("a").alias("lead"))).distinct()
-        led = led.join(member, "f1").join(classes.select(F.col("f1").alias("lead"), F.col("rep").alias("lead_rep")), "lead")
-        dist = links.select("rep_a", "rep_b", (1 - F.col("i") / F.col("u")).alias("dist"))
-        dist = dist.unionByName(dist.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"), "dist"))
-        led = led.join(dist.select(F.col("rep_a").alias("lead_rep"), F.col("rep_b").alias("rep"), "dist"), ["lead_rep", "rep"], "left")
-        # Where the screen ruled out the pair with the least one, the distance is not known: NaN rules out nothing.
-        led = checkpointed(led.withColumn("dist", F.when(F.col("rep") == F.col("lead_rep"), F.lit(0.0)).otherwise(F.coalesce("dist", F.lit(float("nan"))))).select(F.xxhash64("grp", "lead").alias("grp"), "rep", "n", "dense", "dist"))
-        for best_only in (True, False):
-            now = led.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-            open_ = now.groupBy("grp").agg(F.count(F.lit(1)).alias("n_grp"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-            open_ = open_.select(F.col("grp").bitwiseXOR(F.lit(0)).alias("grp"), "n_grp")
-            more = checkpointed(_block_pairs(now.join(open_, "grp").select("grp", "n_grp", "rep", "n", "dense", "comp", "dist"), need, block, best_only))
-            more = more.join(links.select("rep_a", "rep_b"), ["rep_a", "rep_b"], "left_anti")
-            if more.isEmpty():
-                break
+    same_id = known.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
+    same_id = checkpointed(same_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b"))
+    comp = components(linked(links).unionByName(same_id))
+
+    # Members of groups of three and more, with their distance to the least one
+    # where that is known, and one number.
+    dist = links.groupBy("rep_a", "rep_b").agg(F.count(F.lit(1)).alias("c"), F.min(1 - F.col("i") / F.col("u")).alias("dist")).where("c = 1")
+    dist = dist.select("rep_a", "rep_b", "dist").unionByName(dist.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"), "dist"))
+    chosen = shape.where("n_grp > 1").select(forget_partitioning(F.col("grp")).alias("g"), "n_grp")
+    many = stars.join(chosen, forget_partitioning(stars["grp"]) == chosen["g"]).drop("g")
+    many = many.join(dist.select(F.col("rep_a").alias("lead_rep"), F.col("rep_b").alias("rep"), "dist"), ["lead_rep", "rep"], "left")
+    many = many.select("grp", "n_grp", "rep", "dist").unionByName(many.select("grp", "n_grp", F.col("lead_rep").alias("rep"), F.lit(0.0).alias("dist")).distinct())
+    many = checkpointed(many)
+    # The first rounds, over larger groups, join what few comparisons join; the last settles all that is left.
+    for how in ("few", "all"):
+        now = many.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        open_ = now.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(forget_partitioning(F.col("grp")).alias("g"))
+        now = now.join(open_, forget_partitioning(now["grp"]) == open_["g"]).drop("g")
+        if how != "all":
+            now = now.where("n_grp >= 16")
+        more = _block_pairs(now.join(classes.select("rep", "n", "dense"), "rep"), need, block, how)
+        more = checkpointed(more.join(links.select("rep_a", "rep_b"), ["rep_a", "rep_b"], "left_anti"))
+        if not more.isEmpty():
             links = checkpointed(links.unionByName(_verify(more, texts, k)))
             comp = components(linked(links).unionByName(same_id))
 
