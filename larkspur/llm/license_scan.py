@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of lines that speak of licences.  Each block is
-compressed by zstandard alone, and with each template as a raw-content
+Candidate blocks are runs of lines that speak of licences.  Notices of several
+paragraphs have blank or comment-only lines between them, so neighbouring
+paragraphs are also taken together.  Each block is compressed by zstandard alone, and with each template as a raw-content
 dictionary; a template that the block repeats makes it much smaller.  Templates
 are ranked by that reduction, and the best ones are confirmed by an exact
 comparison of words: what the block has more, less or otherwise than the
@@ -19,6 +20,7 @@ is compared as a whole; columns other than id and text are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,18 @@ TEMPLATES = {
         "See the License for the specific language governing permissions and limitations under the License."
     ),
     "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF "
+        "ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-2-Clause-short": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
@@ -53,11 +67,29 @@ TEMPLATES = {
         "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
     ),
     "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "ISC-short": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         "above copyright notice and this permission notice appear in all copies."
     ),
     "MIT": "Released under the MIT License.",
     "MIT-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES '
+        "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+        "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "MIT-text-short": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
         '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
@@ -100,6 +132,36 @@ def blocks_of(text: str | None, vocabulary: set[str]) -> list[tuple[int, int, st
     return out
 
 
+def paragraphs_of(text: str | None, vocabulary: set[str]) -> list[list[tuple[int, int, list[str], str, bool]]]:
+    """Groups of (first line, number of lines, words, text, has a licence term): neighbouring
+    lines with words, at least half of them in `vocabulary`.  Paragraphs of a group
+    have only lines without words between them; one at least has a licence term."""
+    if not text or not _TRIGGER.search(text):
+        return []
+    out, group, run, held = [], [], [], []
+
+    def close(at):
+        if run:
+            block = "\n".join(run)
+            group.append((at - len(run), len(run), list(held), block, bool(_TRIGGER.search(block))))
+            run.clear()
+            held.clear()
+
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        words = words_of(line)
+        if words and 2 * sum(w in vocabulary for w in words) >= len(words):
+            run.append(line)
+            held += words
+            continue
+        close(i)
+        if words and group:
+            out.append(group)
+            group = []
+    close(len(lines))
+    return [g for g in [*out, group] if any(p[4] for p in g)]
+
+
 def differences(block: list[str], template: list[str]) -> tuple[int, int, int]:
     """(words of the template that are missing, words of the block more, words changed) by an exact edit alignment."""
     n = len(template)
@@ -131,12 +193,51 @@ class Scanner:
         self.tried, self.most_different = tried, most_different
         self.words = {k: words_of(v) for k, v in sorted(templates.items())}
         self.vocabulary = {w for x in self.words.values() for w in x}
+        self.bags = [(len(x), Counter(x)) for x in self.words.values()]
+        self.longest = max((len(x) for x in self.words.values()), default=0) * (1 + most_different)
         bare = z.ZstdCompressionParameters.from_level(19, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone = z.ZstdCompressor(compression_params=bare)
         given = lambda w: z.ZstdCompressionDict(" ".join(w).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
         self.with_template = {k: z.ZstdCompressor(compression_params=bare, dict_data=given(w)) for k, w in self.words.items()}
         self.known: dict[str, tuple | None] = {}
 
+    def runs(self, group: list[tuple]) -> list[tuple[int, int]]:
+        """(first, last) of the runs of paragraphs that have a licence term and could be an
+        instance of a template: an edit changes the number of words by 1 at most, and the words in common."""
+        out = []
+        for i in range(len(group)):
+            n, told, bag = 0, False, Counter()
+            for j in range(i, len(group)):
+                n += len(group[j][2])
+                if n > self.longest:
+                    break
+                told = told or group[j][4]
+                bag.update(group[j][2])
+                if told and any(
+                    abs(n - size) <= self.most_different * size and max(n, size) - (bag & have).total() <= self.most_different * size for size, have in self.bags
+                ):
+                    out.append((i, j))
+        return out
+
+    def scan(self, text: str | None) -> list[tuple]:
+        """(first line, number of lines, license, reduction, missing, extra, changed) of the confirmed
+        runs of paragraphs; of runs that overlap, the one that repeats most words of its template."""
+        out = []
+        for group in paragraphs_of(text, self.vocabulary):
+            found = []
+            for i, j in self.runs(group):
+                first, last = group[i], group[j]
+                block = "\n".join(p[3] for p in group[i : j + 1])
+                if best := self.best(block):
+                    name, _, missing, extra, changed = best
+                    found.append((missing + changed - len(self.words[name]), extra, i, j, (first[0], last[0] + last[1] - first[0], *best)))
+            taken: set[int] = set()
+            for _, _, i, j, row in sorted(found):
+                if taken.isdisjoint(range(i, j + 1)):
+                    taken.update(range(i, j + 1))
+                    out.append(row)
+        return sorted(out)
+
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """Templates by the reduction of the block's compressed size, largest first."""
         plain = " ".join(words_of(block)).encode()
@@ -178,9 +279,8 @@ def license_scan(
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for first, n, block in blocks_of(text, scan.vocabulary):
-                    if found := scan.best(block):
-                        out.append((doc_id, first, n, *found, not any(found[2:])))
+                for found in scan.scan(text):
+                    out.append((doc_id, *found, not any(found[4:])))
             cols = list(zip(*out)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[x.split(" ")[0] for x in SCHEMA.split(", ")])
 

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from larkspur.llm.license_scan import TEMPLATES, Scanner, blocks_of, differences, license_scan
 
@@ -54,3 +55,36 @@ def test_blocks_and_nothing(documents):
     vocabulary = {"license", "the", "mit", "under"}
     assert blocks_of("x y z\nunder the MIT license\n\nthe license", vocabulary) == [(1, 1, "under the MIT license"), (3, 1, "the license")]
     assert blocks_of(None, vocabulary) == [] and license_scan(documents([])).count() == 0
+
+
+#: Words at which notices start a new paragraph in their published layout.
+PARAGRAPHS = {
+    "MIT-text": ["The above copyright notice", "THE SOFTWARE IS PROVIDED"],
+    "Apache-2.0-header": ["You may obtain", "Unless required"],
+    "GPL-3.0-header": ["This program is distributed", "You should have received"],
+    "BSD-2-Clause": ["1. Redistributions", "2. Redistributions", "THIS SOFTWARE IS PROVIDED"],
+    "ISC": ["THE SOFTWARE IS PROVIDED"],
+    "MPL-2.0": [],
+}
+
+
+def test_published_layouts(documents):
+    """Blank and comment-only lines within a notice, wrapped lines, and prose, a title and a copyright line around it."""
+    rows, want, r = [], {}, random.Random(3)
+    for name, starts in PARAGRAPHS.items():
+        text = TEMPLATES[name]
+        for at in starts:
+            assert at in text
+            text = text.replace(at, "\n\n" + at, 1)
+        lines = []
+        for paragraph in text.split("\n\n"):
+            lines += [textwrap.fill(paragraph.strip(), 72, break_long_words=False, break_on_hyphens=False), ""]
+        notice = "\n".join(lines[:-1])
+        for mark in ("", "# ", " * ", "// "):
+            head = ["Some Program", "", "Copyright (c) 2019 Somebody Else", ""]
+            body = [*head, *notice.split("\n"), "", " ".join(words(r, 12))]
+            doc = len(rows)
+            want[doc] = (name, 4, notice.count("\n") + 1, True)
+            rows.append((doc, "\n".join((mark + x).rstrip() for x in body)))
+    found = license_scan(documents(rows)).collect()
+    assert {x.doc_id: (x.license, x.block_line, x.n_lines, x.exact) for x in found} == want and len(found) == len(want)
