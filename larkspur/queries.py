@@ -159,6 +159,15 @@ def _join_range(engine, sf_dir):
     return each.join(events, F.col("pos") == F.col("event_id")).groupBy("c_seq_no").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+@frames("join_range_all", "select c_seq_no, count(*) n, round(sum(value), 4) total from (select event_id // 100 c_seq_no, min(event_id) a, max(event_id) + 1 b from events group by 1) c join events on event_id >= a and event_id < b group by all", {"total": 4})
+def _join_range_all(engine, sf_dir):
+    """join_range over every segment."""
+    events = engine.named("events").select("event_id", "value")
+    seg = events.groupBy(F.call_function("div", "event_id", F.lit(100)).alias("c_seq_no")).agg(F.min("event_id").alias("a"), (F.max("event_id") + 1).alias("b"))
+    each = seg.where("b > a").select("c_seq_no", F.explode(F.sequence("a", F.col("b") - 1)).alias("pos"))
+    return each.join(events, F.col("pos") == F.col("event_id")).groupBy("c_seq_no").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 # -- aggregation -----------------------------------------------------------------------
 
 expression("group_keyed", q.Group(T("orders"), q.By(s.o_orderstatus, s.o_orderpriority), q.As(s.n, q.Count("*"), s.total, q.Sum(s.o_totalprice))), "select o_orderstatus, o_orderpriority, count(*) n, round(sum(o_totalprice), 2) total from orders group by all", {"total": 2})
@@ -192,6 +201,7 @@ expression("append_positional", q.Append(tpch.table("region", "r_regionkey", "r_
 expression("fn_year", q.Group(q.Project(T("orders"), q.As(s.y, q.Year(s.o_orderdate))), q.By(s.y), q.As(s.n, q.Count("*"))), "select cast(year(o_orderdate) as integer) y, count(*) n from orders group by all")
 expression("fn_date", q.Project(T("orders"), q.As(s.o_orderkey, s.o_orderkey, s.late, q.Greater(s.o_orderdate, q.DateObject("1998-08-31T00:00")), s.on_day, q.Equal(s.o_orderdate, q.Date("1995-03-15")), s.y, q.Year(q.Date("1995-03-15")))), "select o_orderkey, o_orderdate > date '1998-08-31' late, o_orderdate = date '1995-03-15' on_day, 1995::integer y from orders")
 expression("fn_unixtime", q.Project(q.Select(T("orders"), q.Where(q.Greater(200, s.o_orderkey))), q.As(s.o_orderkey, s.o_orderkey, s.t, q.UnixTime(s.o_orderdate), s.fixed, q.UnixTime("2024-07-01 12:00:00", q.Rule(s.TimeZone, "Europe/Berlin")))), "select o_orderkey, cast(epoch(o_orderdate) as bigint) t, 1719828000::bigint fixed from orders where o_orderkey < 200")
+expression("fn_unixtime_all", q.Project(T("orders"), q.As(s.o_orderkey, s.o_orderkey, s.t, q.UnixTime(s.o_orderdate), s.fixed, q.UnixTime("2024-07-01 12:00:00", q.Rule(s.TimeZone, "Europe/Berlin")))), "select o_orderkey, cast(epoch(o_orderdate) as bigint) t, 1719828000::bigint fixed from orders")
 expression("fn_concat", q.Project(T("nation"), q.As(s.n_nationkey, s.n_nationkey, s.label, q.StringJoin("<", s.n_name, ">"))), "select n_nationkey, concat('<', n_name, '>') label from nation")
 expression("fn_divide", q.Project(T("part"), q.As(s.p_partkey, s.p_partkey, s.ratio, q.Divide(s.p_partkey, 2), s.whole, q.IntDivide(s.p_partkey, 2))), "select p_partkey, p_partkey / 2 ratio, p_partkey // 2 whole from part")
 expression("fn_multiply_subtract", q.Project(T("part"), q.As(s.p_partkey, s.p_partkey, s.x, q.Multiply(s.p_size, 3), s.y, q.Subtract(s.p_size, 3))), "select p_partkey, p_size * 3 x, p_size - 3 y from part")
@@ -316,6 +326,15 @@ def _bitpack(engine, sf_dir):
     return codec.unpack_bits(each, "packed", 4, "i", "v").select((F.col("word") * 4 + F.col("i")).alias("pos"), "v")
 
 
+@frames("bitpack_decode_all", "select event_id pos, event_id % 16 v from events")
+def _bitpack_all(engine, sf_dir):
+    """bitpack_decode with the last word, which need not be full: as many values come out as went in."""
+    events = engine.named("events").select(F.call_function("div", "event_id", F.lit(4)).alias("word"), (F.col("event_id") % 4).alias("i"), (F.col("event_id") % 16).alias("v"))
+    packed = events.groupBy("word").agg(F.expr("cast(sum(shiftleft(v, cast(i * 4 as int))) as bigint)").alias("packed"), F.count(F.lit(1)).alias("n"))
+    each = packed.select("word", "packed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    return codec.unpack_bits(each, "packed", 4, "i", "v").select((F.col("word") * 4 + F.col("i")).alias("pos"), "v")
+
+
 @frames("sequence_decode", "select i pos, 1000 + 7 * i v from range(500) t(i)")
 def _sequence(engine, sf_dir):
     return codec.decode_sequence(engine.spark, 1000, 7, 500, "v")

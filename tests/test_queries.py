@@ -50,3 +50,10 @@ def test_no_python_and_no_nested_loops(spark):
     for name, run in queries.QUERIES.items():
         plan = _plan(run(spark, FOLDER))
         assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_whole_tables_are_read(spark, duck):
+    """The queries that go over all segments, orders and events have as many rows as there are."""
+    want = {"join_range_all": "select count(distinct event_id // 100) from events", "fn_unixtime_all": "select count(*) from orders", "bitpack_decode_all": "select count(*) from events"}
+    for name, sql in want.items():
+        assert queries.QUERIES[name](spark, FOLDER).count() == duck.execute(sql).fetchone()[0], name
