@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import types
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +37,11 @@ def quoted(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; one of our own only where none is named."""
+    """The folder that driver and executors share, as the cluster names it; one of our
+    own only where none is named and all is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
     return named or os.path.join(tempfile.gettempdir(), "larkspur-shared")
 
 
@@ -48,6 +53,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table written to the shared folder.  Other than after a checkpoint,
+    the planner then knows its true size: in loops with joins, sizes that are
+    estimated from sizes multiply until the planner itself runs out of memory."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Takes away a table that `written` made, when nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def worker_cache(name: str, make):
     """What `make` gives, kept for the life of a Python worker."""
     held = sys.modules.setdefault("_larkspur_worker_cache", types.ModuleType("_larkspur_worker_cache"))

@@ -5,36 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import forget_partitioning, removed, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    out = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("low").alias("a"), "b")
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")).select(forget_partitioning(F.col("a")).alias("of"), "low")
+    out = both.join(low, forget_partitioning(both["a"]) == low["of"]).where(F.col("b") > F.col("a")).select(F.col("low").alias("a"), "b")
     return out.where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them.  Edges have a < b."""
     low = edges.groupBy("b").agg(F.min("a").alias("low"))
-    moved = edges.join(low, "b").where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    of = low.select(forget_partitioning(F.col("b")).alias("of"), "low")
+    moved = edges.join(of, forget_partitioning(edges["b"]) == of["of"]).where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(low.select(F.col("low").alias("a"), "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of edges (a, b), component the smallest node reachable.
+    """(node, component) for the nodes of edges (a, b), component the smallest node
+    reachable; a component's smallest node itself has no row.
 
     Each round is a few aggregations of the edge table; a node with very many
-    edges is summed map-side.  The number of rounds grows with the logarithm of
-    the largest component.  Self links and repeated edges do no harm.
+    edges is summed map-side, and joined on a key that adaptive execution can split.  The number of rounds grows with the logarithm of
+    the largest component, and each round's table goes to the shared folder.  Self links and repeated edges do no harm.
     """
     now = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     state = None
     while True:
-        now = checkpointed(_small_star(_large_star(now)).distinct())
+        before, now = now, written(_small_star(_large_star(now)).distinct())
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state is not None:
+            removed(before)
         if mark == state:
             break
         state = mark

@@ -7,27 +7,40 @@ symmetric difference.  At Jaccard similarity s that difference is at most
 (1 - s) / (1 + s) * (|A| + |B|) =: d, hence at most d of a document's segments
 differ, and two linked documents agree in one of the first d + 1 of their
 segments, in whatever order, so long as the order is common to all.  That is the
-pigeonhole join.  It is done per size band: a band fixes the number of segments,
-and a document that may pair with a smaller one in the band below joins there
-as well.  Segments are very wide (2^58 bits) and sparse, so a key of a segment
-is the XOR of the hashes of its bits.  The order puts segments last whose
-shingles are known to be frequent; the order changes cost, never the result.
-
-A second sketch, dense, of some 2 bits for each shingle, screens the candidate
-pairs; what it leaves is verified on the texts' shingles.
-
-Copies and hot segments: documents with equal sets are one class, and only
-classes are joined.  The classes that share a segment are a group.  First every
-class of a group meets the group's least one only.  What is still in different
-components after that is compared within the group, in blocks of bounded size, by
-the dense sketches and by the triangle inequality of the Jaccard distance: first
-those that look nearest, at last whatever is still apart.  So groups of
-near copies need comparisons in proportion to their size, and no link between
-different texts is lost.  Groups of the same classes are looked at once.
+pigeonhole join.  It is done per size band: sizes from m to 2 m - 1 have m
+segments, so that a segment holds one to two shingles, and a document that may
+pair with a smaller one in the band below joins there as well.  Small sets, where
+a few shingles must not meet, are one band of very many segments.  Segments are
+very wide (2^58 bits) and sparse, so a key of a segment is the XOR of the hashes
+of its bits; an empty segment is a key too, and comes last.  The order puts
+segments later whose shingles are all known to be frequent; it changes cost,
+never the result.
+
+Documents with equal sets are one class, and only classes are joined.  Classes
+that share a segment's key are a group, and groups of the same least class are one
+family.  Three steps follow:
+
+1. Within a family, dense sketches (2 bits or more for each shingle) tell which
+   classes look alike.  Each block of a family gives a spanning forest of its
+   alike pairs, never the pairs.
+2. The components of all forests are clusters; no link leaves its cluster.  A
+   class is in one cluster, so its text travels once.
+3. Within a cluster, pairs that look alike and are not connected yet are verified
+   on the texts' shingles; again each block gives a forest, and the components of
+   these links are the result.
+
+A family or cluster of more than `block` members, or of too many shingles for one
+task, is dealt over about as many blocks as each has members, times a constant.
+First every member is compared within its block and with some 32 members that
+all blocks get.  What is then outside the largest component of its family visits
+all blocks, so no pair of different components is left uncompared.  Work is thus
+in proportion to the members, and only those outside the largest component meet all others.
 
 Scale: shingles never leave the task that reads the text.  Shuffled are the
-segment keys (16 bytes each, a third as many as shingles), one row per class and
-the texts of classes in candidate pairs.
+segment keys (16 bytes each, about 0.4 for each shingle), the families' sketches
+(2 to 4 bits a shingle) and the texts of clusters, twice.  The map that
+screens texts before they travel has a fixed size; where it is full, all texts
+travel to be joined with the list of clusters.
 
 Defined cases: null and empty texts have the empty set and link with nothing; a
 text of fewer than `k` words has one shingle, the whole sequence; rows with
@@ -45,8 +58,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, forget_partitioning, mix64, quoted, worker_cache
 from .components import components
 
-#: Sizes from s to BAND * s are one band.
-BAND = 8
+#: Sets of fewer shingles are the lowest band; from there on sizes from m to 2 m - 1 are one.
+LOWEST = 64
 #: Bytes of text worked on at once; bounds a task's memory beside the longest single text.
 CHUNK_BYTES = 1 << 21
 
@@ -151,19 +164,13 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
 
 
 def _band(n: int) -> int:
-    """Index of the band of size n >= 1, by whole-number arithmetic."""
-    b = 0
-    while n >= BAND:
-        n //= BAND
-        b += 1
-    return b
+    """Index of the band of size n."""
+    return (n // LOWEST).bit_length()
 
 
 def _segments(band: int) -> int:
-    """Segments of a band's sketch.  The pigeonhole needs a set to lie in more
-    than d segments.  From 4096 segments on, and in the lowest band, where a few
-    shingles must not meet, from 2^39, that fails less often than 64-bit hashes collide."""
-    return max(4096, BAND ** (band + 1) * 3 // 2) if band else 1 << 39
+    """Segments of a band's sketch.  The pigeonhole needs more than d of them, and d is under 4/7 of a band's least size."""
+    return LOWEST << (band - 1) if band else 1 << 39
 
 
 def most_different(a: int, b: int, need: int, of: int = 100) -> int:
@@ -187,8 +194,8 @@ def segment_keys(sets: Sets, bands: np.ndarray, counts: np.ndarray, frequent: np
     both, spread = both[order], spread[order]
     first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
     bits = np.bitwise_xor.reduceat(mix64(spread ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
-    owner = doc[order][first]
-    key = mix64(bits ^ mix64((both[first] & np.uint64((1 << 40) - 1)) * np.uint64(64) + bands[owner].astype(np.uint64)))
+    distinct, owner = both[first], doc[order][first]
+    key = mix64(bits ^ mix64((distinct & np.uint64((1 << 40) - 1)) * np.uint64(64) + bands[owner].astype(np.uint64)))
     hot = np.zeros(len(key), np.uint64)
     if len(frequent):
         known = worker_cache("jaccard_filter", dict)
@@ -210,7 +217,18 @@ def segment_keys(sets: Sets, bands: np.ndarray, counts: np.ndarray, frequent: np
     keep = np.arange(len(key)) - begin[owner] < counts[owner]
     while (more := np.flatnonzero(~keep[1:] & keep[:-1] & (by[1:] == by[:-1]))).size:
         keep[more + 1] = True
-    return key[keep], owner[keep]
+    key, owner = key[keep], owner[keep]
+    # Where a set has too few segments, its first empty ones come after them.
+    lacks = np.flatnonzero((size > 0) & (size < counts))
+    if len(lacks):
+        more_key, more_owner = [key], [owner]
+        for d in lacks.tolist():
+            used = distinct[distinct >> np.uint64(40) == d] & np.uint64((1 << 40) - 1)
+            some = np.setdiff1d(np.arange(int(counts[d]), dtype=np.uint64), used)[: int(counts[d] - size[d])]
+            more_key.append(mix64(mix64(some * np.uint64(64) + np.uint64(bands[d]))))
+            more_owner.append(np.full(len(some), d, np.int64))
+        key, owner = np.concatenate(more_key), np.concatenate(more_owner)
+    return key, owner
 
 
 def dense_bits(n: int) -> int:
@@ -294,7 +312,8 @@ def _emit_keys(texts: DataFrame, k: int, need: int, frequent) -> DataFrame:
                 keys, owner = segment_keys(sets, bands, counts, value, rank)
                 # Those that may link with a smaller set in the band below are found there as well.
                 lower = np.array([x > 0 and b > 0 and _band(max(1, -(-need * x // 100))) < b for x, b in zip(n, bands.tolist())], bool)
-                counts = np.array([most_different(x, x, need) + 1 if x else 0 for x in n], np.int64)
+                below = [(LOWEST << b >> 1) - 1 for b in bands.tolist()]
+                counts = np.array([most_different(x, y, need) + 1 if low else 0 for x, y, low in zip(n, below, lower.tolist())], np.int64)
                 more, more_owner = segment_keys(sets.only(lower), np.maximum(bands - 1, 0), counts, value, rank)
                 keys, owner = np.concatenate([keys, more]), np.concatenate([owner, more_owner])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(f1[owner])], names=["key", "f1"])
@@ -302,40 +321,34 @@ def _emit_keys(texts: DataFrame, k: int, need: int, frequent) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key long, f1 long")
 
 
-def _group_pairs(keys: DataFrame) -> DataFrame:
-    """(lead, f1, grp): for each key that several sets share, its least print with each other one; grp tells the key."""
+def _families(keys: DataFrame) -> DataFrame:
+    """(fam, f1): for each key that several sets share, its least print as `fam` and every print, itself included; distinct."""
 
     def run(batches):
         # What is held back of the key that may go on: its least print and its latest one.
         open_key = lead = latest = None
         held: list = []
 
-        def work(key, f):
+        def give():
             nonlocal open_key, lead, latest
+            key, f = (np.concatenate([h[i] for h in held]) for i in range(2))
+            held.clear()
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (f[1:] != f[:-1])
-            if open_key is not None and key[0] == open_key and f[0] == latest:
-                new[0] = False
+            new[0] = not (key[0] == open_key and f[0] == latest)
             key, f = key[new], f[new]
             if not len(key):
-                return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["fam", "f1"])
             begins = np.ones(len(key), bool)
             begins[1:] = key[1:] != key[:-1]
+            begins[0] = key[0] != open_key
             leads = f[np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))]
-            if open_key is not None and key[0] == open_key:
-                same = key == open_key
-                leads = np.where(same, lead, leads)
-                begins[0] = False
+            if not begins[0]:
+                leads[key == open_key] = lead
             open_key, lead, latest = key[-1], leads[-1], f[-1]
-            member = ~begins
-            return leads[member], f[member], key[member]
-
-        def give():
-            if not held:
-                return None
-            out = work(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["lead", "f1", "grp"])
+            pairs = np.unique(np.stack([leads[~begins], f[~begins]]), axis=1)
+            pairs = np.concatenate([pairs, np.repeat(np.unique(pairs[0])[None], 2, 0)], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["fam", "f1"])
 
         size = 0
         for batch in batches:
@@ -345,155 +358,179 @@ def _group_pairs(keys: DataFrame) -> DataFrame:
             if size > 400_000:
                 yield give()
                 size = 0
-        if (last := give()) is not None:
-            yield last
+        if held:
+            yield give()
 
     ordered = keys.repartition("key").sortWithinPartitions("key", "f1")
-    return ordered.mapInArrow(run, "lead long, f1 long, grp long")
+    return ordered.mapInArrow(run, "fam long, f1 long").distinct()
+
+
+def alike(n: np.ndarray, comp: np.ndarray, guest: np.ndarray, dense: list[bytes], need: int):
+    """(u, vs) by turns: the members vs of a block that the sketches let member u
+    link with.  Pairs of one component and pairs of guests are left out; each pair comes once."""
+    width = np.array([len(d) for d in dense], np.int64)
+    for w in np.unique(width).tolist():
+        # Sizes differ by a third at most, so sketches are as wide or twice as wide.
+        x = np.flatnonzero(width == w)
+        y = np.flatnonzero((width == w) | (width == 2 * w))
+        y = y[np.argsort(width[y], kind="stable")]  # those as wide come first, in the order of x
+        bits = np.stack([_fold(np.frombuffer(dense[i], np.uint8), w) for i in y.tolist()]).view(np.uint64)
+        step = max(1, (1 << 21) // bits.size)
+        for i in range(0, len(x), step):
+            u = x[i : i + step]
+            both = n[u, None] + n[y]
+            most = both - 2 * -(-need * both // (100 + need))
+            ok = (comp[u, None] != comp[y]) & ~(guest[u, None] & guest[y]) & (n[u, None] * 100 >= n[y] * need) & (n[y] * 100 >= n[u, None] * need)
+            ok &= np.arange(i, i + len(u))[:, None] < np.arange(len(y))
+            if ok.any():
+                ok &= np.bitwise_count(bits[i : i + len(u), None] ^ bits).sum(2, dtype=np.int64) <= most
+                for row in np.flatnonzero(ok.any(1)).tolist():
+                    at = y[ok[row]]
+                    apart = np.bitwise_count(bits[i + row] ^ bits[ok[row]]).sum(1, dtype=np.int64)
+                    yield int(u[row]), at[np.argsort(apart, kind="stable")]
+
+
+def forest(node, n, comp, guest, dense, need: int, tokens: list | None = None) -> tuple[list, list]:
+    """Edges that join the components of a block which alike pairs connect; where
+    `tokens` are given, only pairs of enough common shingles."""
+    comp = np.unique(comp, return_inverse=True)[1]
+    a, b = [], []
+
+    def linked(u, vs):
+        if tokens is None or not len(vs):
+            return vs
+        other = np.concatenate([tokens[v] for v in vs.tolist()])
+        mine = tokens[u]
+        hit = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other
+        same = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n[vs])[:-1]]), dtype=np.int64)
+        return vs[same * 100 >= (n[u] + n[vs] - same) * need]
+
+    def join(u, vs):
+        found, first = np.unique(comp[vs], return_index=True)
+        for c, v in zip(found.tolist(), vs[first].tolist()):
+            if c != comp[u]:
+                a.append(node[u])
+                b.append(node[v])
+        comp[np.isin(comp, found)] = comp[u]
+
+    for u, vs in alike(n, comp.copy(), guest, dense, need):
+        # The nearest first: mostly it connects u, and with it all others of that component.
+        for some in (slice(0, 1), slice(1, 4), slice(4, None)):
+            left = vs[some]
+            left = left[comp[left] != comp[u]]
+            if len(left := linked(u, left)):
+                join(u, left)
+    return a, b
+
+
+#: Members of a family or cluster that every one of its blocks gets.
+HUBS = 32
+#: Shingles of a block's own members, on average at most.
+BLOCK_SHINGLES = 1 << 20
+
+
+def _dealt(members: DataFrame, comp: DataFrame | None, block: int) -> DataFrame:
+    """(fam, block, guest, rep, comp): members (fam, rep, n) dealt to blocks.
+
+    Without `comp`, every member and, as guests of the other blocks, some hubs.
+    With it, the components so far, only families of several blocks and several
+    components: every member, and as guests all outside the family's largest component."""
+    size = members.groupBy("fam").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    blocks = F.greatest(F.ceil(F.sqrt(F.col("c") * 4 / block)), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(2)).cast("int")
+    large = size.where((F.col("c") > block) | (F.col("s") > BLOCK_SHINGLES)).select(forget_partitioning(F.col("fam")).alias("f"), "c", blocks.alias("nb"))
+    own = lambda salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col("nb")).cast("int")
+    on = forget_partitioning(F.col("fam")) == F.col("f")
+    if comp is None:
+        rows = members.join(large, on, "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("own", own(1))
+        rows = rows.withColumn("comp", F.col("rep"))
+        travels = F.pmod(F.xxhash64("rep", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("c") / HUBS))) == 0
+    else:
+        rows = members.join(large, on).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+        rows = rows.withColumn("comp", F.coalesce("component", "rep")).withColumn("own", own(2))
+        most = rows.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("fam").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("k"))
+        most = most.where("k > 1").select(forget_partitioning(F.col("fam")).alias("g"), "main")
+        rows = rows.join(most, forget_partitioning(F.col("fam")) == F.col("g"))
+        travels = F.col("comp") != F.col("main")
+    places = F.when((F.col("nb") > 1) & travels, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("own"))
+    return rows.select("fam", F.explode(places).alias("block"), "own", "rep", "comp").select("fam", "block", (F.col("block") != F.col("own")).alias("guest"), "rep", "comp")
+
+
+def _forests(rows: DataFrame, need: int, k: int) -> DataFrame:
+    """(a, b) of the blocks of `rows`: fam, block, guest, rep, comp and either n and
+    dense, or text.  A task holds one block at a time."""
+    exact = "text" in rows.columns
+    loads = ["text"] if exact else ["n", "dense"]
 
+    def run(batches):
+        names = ["fam", "block", "rep", "comp", "guest"]
+        key, held = None, []
+
+        def items(batch):
+            """(fam, block), node, comp, guest, n, dense, tokens of each row with shingles; a row like the one before it is left out."""
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            if not exact:
+                yield from zip(*cols, batch.column(5).to_pylist(), batch.column(6).to_pylist(), [None] * len(cols[0]))
+                return
+            for first, some in _chunks(batch.column(5).to_pylist()):
+                sets = Sets(some, k)
+                dense = dense_sketches(sets)
+                for j, n in enumerate(sets.size.tolist()):
+                    if n:
+                        yield *(c[first + j] for c in cols), n, dense[j], sets.set_of(j)
 
-def _screen(pairs: DataFrame, classes: DataFrame, need: int) -> DataFrame:
-    """(rep_a, rep_b), rep_a < rep_b, that sizes and dense sketches leave of pairs (a, b) of representatives."""
-    side = lambda x: classes.select(F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("dense").alias(f"d_{x}"))
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("rep_a"), F.greatest("a", "b").alias("rep_b")).distinct()
-    both = pairs.join(side("a"), "rep_a").join(side("b"), "rep_b")
-    both = both.where((F.col("n_a") * 100 >= F.col("n_b") * need) & (F.col("n_b") * 100 >= F.col("n_a") * need))
+        def close():
+            if len(held) < 2:
+                return [], []
+            rep, comp, guest, n, dense, tokens = zip(*held)
+            return forest(np.array(rep), np.array(n), np.array(comp), np.array(guest, bool), dense, need, tokens if exact else None)
 
-    def run(batches):
         for batch in batches:
-            keep = []
-            for da, db, na, nb in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x, y = np.frombuffer(da, np.uint8), np.frombuffer(db, np.uint8)
-                size = min(len(x), len(y))
-                keep.append(int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()) <= most_different(na, nb, need))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(4).filter(mask), batch.column(5).filter(mask)], names=["rep_a", "rep_b"])
-
-    return both.select("d_a", "d_b", "n_a", "n_b", "rep_a", "rep_b").mapInArrow(run, "rep_a long, rep_b long").distinct()
+            a, b = [], []
+            for fam, blk, rep, comp, guest, n, dense, tokens in items(batch):
+                if (fam, blk) != key:
+                    more = close()
+                    a += more[0]
+                    b += more[1]
+                    key, held = (fam, blk), []
+                # Rows that repeat an id give its text again.
+                if not (held and held[-1][0] == rep and held[-1][3] == n and held[-1][4] == dense):
+                    held.append((rep, comp, guest, n, dense, tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a, b = close()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = rows.select("fam", "block", "rep", "comp", "guest", *loads)
+    ordered = rows.repartition("fam", "block").sortWithinPartitions("fam", "block", "rep", *loads[:1])
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def _settled(members: DataFrame, loaded, extra: DataFrame | None, block: int, need: int, k: int) -> DataFrame:
+    """(node, component) by the links within families.  members: fam, rep, n;
+    loaded(rows) adds what is compared; `extra` are further edges."""
+    edges = checkpointed(_forests(loaded(_dealt(members, None, block)), need, k))
+    edges = edges if extra is None else edges.unionByName(extra)
+    comp = components(edges)
+    rest = checkpointed(_dealt(members, comp, block))
+    if rest.isEmpty():
+        return comp
+    return components(edges.unionByName(checkpointed(_forests(loaded(rest), need, k))))
 
 
 #: Bits of the map that screens texts before they travel: a fixed size, whatever the input.
 MAP_BITS = 1 << 20
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(rep_a, rep_b, i, u): exact intersection and union sizes of pairs of
-    representatives, by their texts; several rows where an id has several texts.
-
-    Only texts that a map of hashed ids lets through are dealt out; the map has
-    MAP_BITS places at most, and where it is full it lets everything through."""
+def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """`rows` with the texts of `rep`.  Only texts that a map of hashed ids lets
+    through are dealt out; the map has MAP_BITS places at most, and where it is full it lets everything through."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    ids = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep"))
-    wanted = F.broadcast(ids.select(place("rep").alias("place")).distinct())
+    wanted = F.broadcast(rows.select(place("rep").alias("place")).distinct())
     some = texts.join(wanted, place("doc_id") == F.col("place"), "left_semi")
-    some = some.groupBy("doc_id").agg(F.collect_set("text").alias("own")).select("doc_id", F.explode("own").alias("text"))
-    side = lambda x: some.select(F.col("doc_id").alias(f"rep_{x}"), F.col("text").alias(f"t_{x}"))
-
-    def run(batches):
-        last, held = None, None
-        for batch in batches:
-            inter, union = [], []
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for first, group in _chunks(right):
-                sets = Sets(group, k)
-                for j in range(len(group)):
-                    i = first + j
-                    if held is None or left[i] != last:
-                        last, held = left[i], shingle_set(left[i], k)
-                    other = sets.set_of(j)
-                    at = np.minimum(np.searchsorted(held, other), max(0, len(held) - 1))
-                    same = int((held[at] == other).sum()) if len(held) else 0
-                    inter.append(same)
-                    union.append(len(held) + len(other) - same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["rep_a", "rep_b", "i", "u"])
-
-    both = pairs.join(side("b"), "rep_b").join(side("a"), "rep_a").select("rep_a", "rep_b", "t_a", "t_b")
-    return both.mapInArrow(run, "rep_a long, rep_b long, i long, u long")
-
-
-def _alike(part, n, comp, dist, rep, dense: list[bytes], need: int, how: str):
-    """(rep_a, rep_b) of one block pair: members of the lower part with members of the higher one."""
-    to = min(map(len, dense))
-    x, y = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
-    may = (comp[x, None] != comp[y]) & (n[x, None] * 100 >= n[y] * need) & (n[y] * 100 >= n[x, None] * need)
-    may &= ~(np.abs(dist[x, None] - dist[y]) > 1 - need / 100 + 1e-9)
-    u, v = np.nonzero(may)
-    if not len(u):
-        return u, v
-    u, v = x[u], y[v]
-    used = np.unique(np.concatenate([u, v]))
-    place = np.zeros(len(n), np.int64)
-    place[used] = np.arange(len(used))
-    bits = np.stack([_fold(np.frombuffer(dense[i], np.uint8), to) for i in used.tolist()]).view(np.uint64)
-    step = max(1, (1 << 20) // bits.shape[1])
-    apart = np.concatenate([np.bitwise_count(bits[place[u[i : i + step]]] ^ bits[place[v[i : i + step]]]).sum(1, dtype=np.int64) for i in range(0, len(u), step)])
-    both = n[u] + n[v]
-    ok = apart <= both - 2 * -(-need * both // (100 + need))
-    u, v, apart = u[ok], v[ok], apart[ok]
-    if how == "few" and len(u):  # the two nearest of each
-        order = np.lexsort((apart, u))
-        u, v = u[order], v[order]
-        new = np.concatenate([[True], u[1:] != u[:-1]])
-        new = new | np.concatenate([[False], new[:-1]])
-        u, v = u[new], v[new]
-    return rep[u], rep[v]
-
-
-def _block_pairs(members: DataFrame, need: int, block: int, how: str) -> DataFrame:
-    """(rep_a, rep_b) of representatives in one group that may link and are in
-    different components: of each the two that look nearest ("few"), or all.
-    members: grp, n_grp, rep, n, dense, comp, dist.
-
-    Members of like size meet, those from 2^c on in class c, and those that may
-    link with smaller ones in class c - 1 as well; within a class, blocks of some
-    `block` members meet pairwise."""
-    size = F.floor(F.log2("n") + 1e-12).cast("int")
-    lower = F.ceil(F.col("n") * need / 100) < F.pow(F.lit(2.0), size)
-    rows = members.withColumn("cls", F.explode(F.when(lower & (size > 0), F.array(size, size - 1)).otherwise(F.array(size))))
-    blocks = F.ceil((F.col("n_grp") + 1) / F.lit(block)).cast("int")
-    rows = rows.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dist = F.coalesce("dist", F.lit(float("nan")))
-    rows = rows.select("grp", "cls", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "n", "comp", dist.alias("dist"), "dense")
-    key = ["grp", "cls", "p", "q"]
-
-    def run(batches):
-        held: list = []  # the group that the last batch ended in
-
-        def settle(columns, dense, out):
-            if len(dense) > 1:
-                out.append(_alike(*columns, dense, need, how))
-
-        def give(out):
-            a, b = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(2))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], names=["rep_a", "rep_b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = np.stack([table.column(k).to_numpy() for k in key])
-            first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
-            out: list = []
-            if len(first) > 1:
-                columns = [table.column(c).to_numpy() for c in ("own", "n", "comp", "dist", "rep")]
-                dense = table.column("dense").to_pylist()
-                for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
-                    settle([c[i:j] for c in columns], dense[i:j], out)
-                held = table.slice(int(first[-1])).to_batches()
-            yield give(out)
-        out = []
-        if held:
-            table = pa.Table.from_batches(held)
-            settle([table.column(c).to_numpy() for c in ("own", "n", "comp", "dist", "rep")], table.column("dense").to_pylist(), out)
-        yield give(out)
-
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "rep_a long, rep_b long").distinct()
+    return rows.join(some, rows["rep"] == some["doc_id"]).drop("doc_id")
 
 
 def jaccard_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, need: int = 75, block: int = 512,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, need: int = 75, block: int = 256,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `docs`.  Documents
     link when 100 * |A & B| >= need * |A | B|; component_id is the least id reachable."""
@@ -503,46 +540,19 @@ def jaccard_classes(
     known = rows.where("n > 0 and doc_id is not null")
     classes = checkpointed(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("dense").alias("dense")))
     frequent = _frequent(told.where("kind = 1"), 32, 1 << 18)
-    stars = checkpointed(_group_pairs(_emit_keys(texts, k, need, frequent)))
-
-    # Prints become representatives (two classes of one print would both be taken).
-    rep = classes.select("f1", "rep")
-    stars = stars.join(rep, "f1").select("lead", "grp", "rep").join(rep.select(F.col("f1").alias("lead"), F.col("rep").alias("lead_rep")), "lead").select("lead_rep", "rep", "grp")
-    stars = checkpointed(stars)
-    # Groups of the same classes are one; its number is made of its members.
-    low, high = F.xxhash64("rep").bitwiseAND((1 << 32) - 1), F.shiftrightunsigned(F.xxhash64("rep"), 32)
-    shape = stars.groupBy("grp").agg(F.count(F.lit(1)).alias("n_grp"), F.sum(low).alias("low"), F.sum(high).alias("high"), F.min("lead_rep").alias("lead_rep"))
-    shape = checkpointed(shape.groupBy("n_grp", "low", "high", "lead_rep").agg(F.min("grp").alias("grp")).select("grp", "n_grp"))
-
-    candidates = checkpointed(_screen(stars.select(F.col("lead_rep").alias("a"), F.col("rep").alias("b")), classes, need))
-    links = checkpointed(_verify(candidates, texts, k))
-    linked = lambda x: x.where(F.col("i") * 100 >= F.col("u") * need).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    families = checkpointed(_families(_emit_keys(texts, k, need, frequent)).join(classes.select("f1", "rep", "n"), "f1").select("fam", "rep", "n"))
+
     # Rows of one id with different texts are one document.
-    same_id = known.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
-    same_id = checkpointed(same_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b"))
-    comp = components(linked(links).unionByName(same_id))
-
-    # Members of groups of three and more, with their distance to the least one
-    # where that is known, and one number.
-    dist = links.groupBy("rep_a", "rep_b").agg(F.count(F.lit(1)).alias("c"), F.min(1 - F.col("i") / F.col("u")).alias("dist")).where("c = 1")
-    dist = dist.select("rep_a", "rep_b", "dist").unionByName(dist.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"), "dist"))
-    chosen = shape.where("n_grp > 1").select(forget_partitioning(F.col("grp")).alias("g"), "n_grp")
-    many = stars.join(chosen, forget_partitioning(stars["grp"]) == chosen["g"]).drop("g")
-    many = many.join(dist.select(F.col("rep_a").alias("lead_rep"), F.col("rep_b").alias("rep"), "dist"), ["lead_rep", "rep"], "left")
-    many = many.select("grp", "n_grp", "rep", "dist").unionByName(many.select("grp", "n_grp", F.col("lead_rep").alias("rep"), F.lit(0.0).alias("dist")).distinct())
-    many = checkpointed(many)
-    # The first rounds, over larger groups, join what few comparisons join; the last settles all that is left.
-    for how in ("few", "all"):
-        now = many.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        open_ = now.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(forget_partitioning(F.col("grp")).alias("g"))
-        now = now.join(open_, forget_partitioning(now["grp"]) == open_["g"]).drop("g")
-        if how != "all":
-            now = now.where("n_grp >= 16")
-        more = _block_pairs(now.join(classes.select("rep", "n", "dense"), "rep"), need, block, how)
-        more = checkpointed(more.join(links.select("rep_a", "rep_b"), ["rep_a", "rep_b"], "left_anti"))
-        if not more.isEmpty():
-            links = checkpointed(links.unionByName(_verify(more, texts, k)))
-            comp = components(linked(links).unionByName(same_id))
+    several = known.groupBy("doc_id").agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x <> y").select(F.col("doc_id").alias("id"))
+    same_id = known.join(several, F.col("doc_id") == F.col("id")).join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
+    same_id = checkpointed(same_id.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+
+    sketches = classes.select(F.col("rep").alias("of"), "n", "dense")
+    alike_ = _settled(families, lambda x: x.join(sketches, F.col("rep") == F.col("of")), None, block, need, k)
+    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
+    alike_ = alike_.unionByName(alike_.select(F.col("component").alias("node"), "component").distinct())
+    clusters = checkpointed(alike_.join(sizes, F.col("node") == F.col("rep")).select(F.col("component").alias("fam"), "rep", "n"))
+    comp = _settled(clusters, lambda x: _with_texts(x, texts), same_id, block, need, k)
 
     by_rep = classes.select("f1", "f2", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     by_rep = by_rep.select(*(F.col(c).alias(f"c_{c}") for c in ("f1", "f2", "n")), F.coalesce("component", "rep").alias("component_id"))

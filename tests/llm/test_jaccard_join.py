@@ -131,3 +131,25 @@ def test_components(spark):
         up[max(root(a), root(b))] = min(root(a), root(b))
     assert all(got.get(v, v) == root(v) for v in up)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_near_copies(documents):
+    """A group of 600 near copies, some of them linked with few others, over many blocks."""
+    r = random.Random(8)
+    base = words(r, 60)
+    rows = [(i, " ".join(edited(r, base, r.randint(0, 9)))) for i in range(600)]
+    rows += [(1000 + i, " ".join(words(r, 40) + base[:20])) for i in range(60)]
+    r.shuffle(rows)
+    want = brute(rows)
+    assert len({v for d, v in want.items() if d < 1000}) > 20
+    assert {x.doc_id: x.component_id for x in jaccard_classes(documents(rows), block=32).collect()} == want
+
+
+def test_too_few_segments_are_filled_up():
+    """Sets with fewer segments in use than are to be told give their first empty ones."""
+    sets = Sets([b"a b c d e f", b"a b c d e g", b""], 5)
+    counts = np.array([5, 5, 0])
+    key, owner = segment_keys(sets, np.array([1, 1, 0]), counts, np.empty(0, np.uint64), np.empty(0, np.uint64))
+    assert np.bincount(owner, minlength=3).tolist() == [5, 5, 0]
+    a, b = (set(key[owner == i].tolist()) for i in range(2))
+    assert len(a) == len(b) == 5 and len(a & b) >= 3
