@@ -56,8 +56,18 @@ def _int_divide(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def _sum(context, args) -> Column:
+    """The sum of the arguments; of List(...) alone, the sum of its elements, of Span(column) the sum of an array's."""
+    if len(args) == 1 and isinstance(args[0], Expr) and args[0].head == "List":
+        args = args[0].args
+    elif len(args) == 1 and isinstance(args[0], Expr) and args[0].head == "Span":
+        array = compile_scalar(args[0].args[0], context)
+        return F.aggregate(F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(0))), F.get(array, F.lit(0)), lambda a, x: a + x)
+    return reduce(lambda a, b: a + b, _all(context, args))
+
+
 scalar.update({
-    "Plus": _fold(lambda a, b: a + b),
+    "Plus": lambda context, args: _sum(context, args),
     "Times": _fold(lambda a, b: a * b),
     "Minus": _binary(lambda a, b: a - b),
     # Division gives a double; whole-number division has a head of its own.

@@ -20,7 +20,10 @@ def add_indices(df: DataFrame, name: str, order_by: list[str] = ()) -> DataFrame
     sort deals over all partitions, or in the order that the rows are in.
 
     A row's number is its place in its partition plus the sizes of the partitions
-    before; these sizes are the only thing that meets in one place.
+    before; these sizes are the only thing that meets in one place.  The input is read
+    twice, for the sizes and for the rows, and must give the same rows in the same
+    partitions both times: scans, filters, projections and sorts by a whole key do; after
+    sampling, or where ties are dealt by chance, write or checkpoint the input first.
     """
     ordered = df.orderBy(*[column(c).asc_nulls_last() for c in order_by]) if order_by else df
     part, place = f"{name}__part", f"{name}__place"
@@ -41,19 +44,54 @@ def gather(df: DataFrame, pos: str, wanted: DataFrame, wanted_col: str, columns:
     return joined.select(*[df[c].alias(c.lower()) for c in (columns or df.columns)], *extra)
 
 
-def expand_ranges(ranges: DataFrame, start: str, end: str, name: str = "pos") -> DataFrame:
-    """One row for each position in [start, end), duplicates kept where ranges
-    overlap; empty and reversed ranges give none."""
-    some = ranges.where(column(end) > column(start))
-    return some.withColumn(name, F.explode(F.sequence(column(start), column(end) - 1)))
+#: Positions that meet in one bucket of a range join.
+RANGE_BUCKET = 1 << 16
 
 
-def gather_ranges(df: DataFrame, pos: str, ranges: DataFrame, start: str, end: str, columns: list[str] = ()) -> DataFrame:
-    """The rows of `df` at the positions of each range.  Ranges become positions
-    and meet the rows in an equi-join: as many rows as the result has, not a nested loop."""
-    at = expand_ranges(ranges.select(column(start).alias("a"), column(end).alias("b")), "a", "b", "range_pos").select("range_pos")
-    joined = df.join(at, df[pos] == at["range_pos"])
-    return joined.select(*[df[c].alias(c.lower()) for c in (columns or df.columns)])
+def expand_ranges(ranges: DataFrame, start: str, end: str, name: str = "pos") -> DataFrame:
+    """One row for each position in [start, end), duplicates kept where ranges
+    overlap; empty and reversed ranges give none.  Long ranges are cut into pieces
+    first, so no array is longer than a bucket."""
+    pieces = _pieces(ranges.select(*map(column, ranges.columns), column(start).cast("long").alias("range__a"), column(end).cast("long").alias("range__b")))
+    low = F.greatest("range__a", F.col("range__bucket") * RANGE_BUCKET)
+    high = F.least("range__b", (F.col("range__bucket") + 1) * RANGE_BUCKET)
+    return pieces.withColumn(name, F.explode(F.sequence(low, high - 1))).drop("range__a", "range__b", "range__bucket")
+
+
+def _pieces(ranges: DataFrame) -> DataFrame:
+    """Ranges [range__a, range__b) with a row for each bucket of positions that they touch."""
+    bucket = lambda c: F.floor(c / F.lit(RANGE_BUCKET)).cast("long")
+    some = ranges.where("range__b > range__a")
+    return some.withColumn("range__bucket", F.explode(F.sequence(bucket(F.col("range__a")), bucket(F.col("range__b") - 1))))
+
+
+def range_join(df: DataFrame, pos: str, ranges: DataFrame, start: str, end: str, within: tuple[int, int] | None = None) -> DataFrame:
+    """Every row of `df` with each range [start, end) that its position lies in.
+
+    Positions and ranges are dealt into buckets of RANGE_BUCKET positions and meet in
+    an equi-join on the bucket: no nested loop, and a range costs a row for each bucket
+    that it touches, not for each position.  `within` are bounds of all ranges, where
+    they are known; they reach the scan of `df`."""
+    if within is not None:
+        df = df.where((column(pos) >= within[0]) & (column(pos) < within[1]))
+    side = ranges.withColumns({"range__a": column(start).cast("long"), "range__b": column(end).cast("long")})
+    on = (F.floor(df[pos] / F.lit(RANGE_BUCKET)).cast("long") == F.col("range__bucket")) & (df[pos] >= F.col("range__a")) & (df[pos] < F.col("range__b"))
+    return df.join(_pieces(side), on).drop("range__a", "range__b", "range__bucket")
+
+
+def gather_ranges(
+    df: DataFrame, pos: str, ranges: DataFrame, start: str, end: str, columns: list[str] = (), within: tuple[int, int] | None = None,
+    keep: list[str] = (), number: str | None = None,
+) -> DataFrame:
+    """The rows of `df` at the positions of each range.  `keep` names columns of the
+    ranges to carry along; `number` one that gets the range's place in `ranges`, by which, and by
+    position, the result is in the order of the ranges."""
+    given = ranges.select(column(start).alias("given__start"), column(end).alias("given__end"), *[column(c).alias(f"given_{c.lower()}") for c in keep])
+    if number:
+        given = add_indices(given, "given__number")
+    joined = range_join(df, pos, given, "given__start", "given__end", within)
+    more = [column(f"given_{c.lower()}").alias(c.lower()) for c in keep] + ([column("given__number").alias(number.lower())] if number else [])
+    return joined.select(*[df[c].alias(c.lower()) for c in (columns or df.columns)], *more)
 
 
 def partial_table(df: DataFrame, pos: str, index: DataFrame, index_col: str) -> DataFrame:
@@ -105,18 +143,25 @@ def _merge_columns(engine, args) -> DataFrame:
 
 @relation("PartialTable")
 def _partial_table(engine, args) -> DataFrame:
-    """PartialTable(Table(column(List(...)), ...), name): the column `name` holds
-    positions, in a list that may be shorter than the others; the others are cut down to these."""
+    """PartialTable(table, name): the column `name` holds positions, and the other
+    columns are cut down to these.  In a table that is written out, its list may be
+    shorter than the others.  In any other table the column's rows that are not null
+    are the positions, counted in the order of the column `pos` where there is one, of the rows else."""
     table, name = args[0], (args[1].name if isinstance(args[1], Sym) else str(args[1])).lower()
-    if not (isinstance(table, Expr) and table.head == "Table"):
-        raise ValueError("PartialTable takes a table that is written out")
-    rest = table.with_args(c for c in table.args if c.head.lower() != name)
-    index = table.with_args(c for c in table.args if c.head.lower() == name)
-    if len(index.args) != 1:
+    if isinstance(table, Expr) and table.head == "Table" and not (len(table.args) == 1 and isinstance(table.args[0], (Sym, str))):
+        rest = table.with_args(c for c in table.args if c.head.lower() != name)
+        index = table.with_args(c for c in table.args if c.head.lower() == name)
+        if len(index.args) != 1:
+            raise ValueError(f"the table has no column {name}")
+        df, at = add_indices(engine.frame(rest), "partial__pos"), engine.frame(index)
+        return partial_table(df, "partial__pos", at, name).drop("partial__pos").orderBy(name)
+    whole = engine.frame(table)
+    if name not in [c.lower() for c in whole.columns]:
         raise ValueError(f"the table has no column {name}")
-    df = add_indices(engine.frame(rest), "partial__pos")
-    out = partial_table(df, "partial__pos", engine.frame(index), name)
-    return out.drop("partial__pos").orderBy(name)
+    at = whole.select(column(name).alias(name)).where(column(name).isNotNull())
+    rest = whole.drop(name)
+    df = add_indices(rest, "partial__pos", ["pos"] if "pos" in [c.lower() for c in rest.columns] else [])
+    return partial_table(df, "partial__pos", at, name).drop("partial__pos")
 
 
 @relation("RadixPartition")

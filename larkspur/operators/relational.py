@@ -155,16 +155,39 @@ def interpolate_head(engine, args) -> DataFrame:
     return interpolate(df, x, y, keys)
 
 
+#: Rows of one sorted run in an interpolation.
+RUN = 1 << 16
+
+
 def interpolate(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """`df` with nulls of y filled by the mean of the nearest values before and
     after in the order of x; whole numbers are divided as such.  At either end,
-    where one neighbour is missing, the null stays.  The rows of one group of
-    `by` are one sorted run, so group by something when there are many."""
+    where one neighbour is missing, the null stays.
+
+    Rows are numbered in the order of the groups and of x, and each RUN of them is sorted by itself;
+    what reaches across runs are their first and last values, a row for each run and group."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*map(column, by)).orderBy(column(x).asc_nulls_last())
-    before = F.last(column(y), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(column(y), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    from .positions import add_indices
+
+    keys = [f"ip__k{i}" for i in range(len(by))]
+    rows = add_indices(df.withColumns({k: column(c) for k, c in zip(keys, by)}), "ip__n", [*keys, x]).withColumn("ip__run", F.floor(F.col("ip__n") / RUN))
+    own, value = Window.partitionBy(*keys, "ip__run").orderBy("ip__n"), column(y)
+    before = F.last(value, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(value, ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
+    known = rows.where(value.isNotNull()).groupBy(*keys, "ip__run").agg(F.min_by(value, "ip__n").alias("ip__first"), F.max_by(value, "ip__n").alias("ip__last"))
+    ends = rows.select(*keys, "ip__run").distinct().alias("e").join(known.alias("k"), [F.col(f"e.{c}").eqNullSafe(F.col(f"k.{c}")) for c in [*keys, "ip__run"]], "left")
+    ends = ends.select(*[F.col(f"e.{c}").alias(f"{c}_") for c in [*keys, "ip__run"]], "ip__first", "ip__last")
+    runs = Window.partitionBy(*[f"{k}_" for k in keys]).orderBy("ip__run_")
+    ends = ends.withColumns({
+        "ip__before": F.last("ip__last", ignorenulls=True).over(runs.rowsBetween(Window.unboundedPreceding, -1)),
+        "ip__after": F.first("ip__first", ignorenulls=True).over(runs.rowsBetween(1, Window.unboundedFollowing)),
+    }).drop("ip__first", "ip__last")
+    rows = rows.withColumns({"ip__b": before, "ip__a": after})
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in [*keys, "ip__run"]]
+    rows = rows.join(ends, on)
+    low, high = F.coalesce("ip__b", "ip__before"), F.coalesce("ip__a", "ip__after")
     whole = dict(df.dtypes)[next(c for c in df.columns if c.lower() == y.lower())] in ("tinyint", "smallint", "int", "bigint")
-    mean = F.call_function("div", before + after, F.lit(2)) if whole else (before + after) / 2
-    return df.withColumn(y.lower(), F.coalesce(column(y), mean))
+    mean = F.call_function("div", low + high, F.lit(2)) if whole else (low + high) / 2
+    filled = F.coalesce(value, mean).alias(y.lower())
+    return rows.select(*[filled if c.lower() == y.lower() else column(c) for c in df.columns])

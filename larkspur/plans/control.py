@@ -147,6 +147,23 @@ def clear_caches(engine, args):
 control["ClearParquetReaderCaches"] = clear_caches
 
 
+@controlling("GetFileLength")
+def length_of(engine, args):
+    """GetFileLength(url): bytes."""
+    from ..sources.tables import file_length
+
+    return file_length(engine.spark, str(engine._evaluate(args[0])))
+
+
+@controlling("Parse")
+def parse(engine, args):
+    """Parse(text): the value of the expression that a text of the serialised form holds; also ByteSequence(text)."""
+    from ..expr import from_json
+
+    e = args[0].args[0] if isinstance(args[0], Expr) and args[0].head == "ByteSequence" else engine._evaluate(args[0])
+    return engine._evaluate(from_json(e))
+
+
 @controlling("GetEngineCapabilities")
 def capabilities(engine, args):
     return Expr("List", tuple(map(Sym, heads())))
@@ -194,9 +211,11 @@ def set_parallelism(engine, args):
 
 @relation("SaveTable")
 def save_table(engine, args) -> DataFrame:
-    """SaveTable(input, name): the table, kept under the name."""
+    """SaveTable(input, name): the table, kept under the name until ClearTables or another table of that name."""
     df = engine.frame(args[0])
     name = _name(args[1]).lower()
+    if name in engine.saved:
+        engine.saved[name].unpersist()
     engine.saved[name] = df.persist()
     df.createOrReplaceTempView(name)
     return df
@@ -241,6 +260,26 @@ def encoding_for(engine, args):
         return Expr("InvalidKeyForColumn", (args[0], args[1]))
 
 
+@relation("GetEncodingForFromURL")
+def encoding_for_from_url(engine, args) -> DataFrame:
+    """GetEncodingForFromURL(text, column, url): a table of one row and column, `code`: the
+    text's place in the dictionary of a Parquet column, the distinct texts in the order of
+    their first rows, or -1.  A column that is not of texts has no dictionary: an error."""
+    from pyspark.sql import functions as F
+
+    from ..functions.scalar import column
+    from ..operators.positions import add_indices
+    from ..sources.tables import with_positions
+
+    text, name, url = args[0], _name(args[1]).lower(), str(args[2])
+    df = engine.spark.read.parquet(url).select(column(name).alias("value"))
+    if df.schema["value"].dataType.typeName() != "string":
+        raise KeyError(f"the column {name} of {url} has no dictionary")
+    seen = with_positions(df, "at").where("value is not null").groupBy("value").agg(F.min("at").alias("at"))
+    found = add_indices(seen, "code", ["at"]).where(F.col("value") == text)
+    return found.agg(F.coalesce(F.max("code"), F.lit(-1)).cast("long").alias("code"))
+
+
 # -- data definition ----------------------------------------------------------------
 
 
@@ -261,9 +300,13 @@ def insert_into(engine, args):
     from ..sources.tables import _cells
 
     name = _name(args[0]).lower()
-    df = engine.named(name)
-    row = engine.spark.createDataFrame([tuple(_cells(Expr("List", args[1:])))], df.schema)
-    engine.catalog[name] = df.unionByName(row)
+    base, rows = engine.inserted.get(name, (None, None))
+    if base is None or engine.catalog.get(name) is not rows[0]:
+        base, rows = engine.named(name), [None]
+    rows.append(tuple(_cells(Expr("List", args[1:]))))
+    # However many rows come one by one, they are one local table beside what was there.
+    rows[0] = lambda base=base, rows=rows: base.unionByName(engine.spark.createDataFrame(rows[1:], base.schema))
+    engine.inserted[name], engine.catalog[name] = (base, rows), rows[0]
     return True
 
 

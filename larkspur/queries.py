@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .expr import Expr, Sym, q, read_sexpr, s
+from .expr import Expr, Sym, q, read_path, read_sexpr, s, to_json
 from .functions.scalar import column
 from .operators import codec
-from .operators.positions import add_indices, gather, partial_table, radix_partition
+from .operators.positions import add_indices, gather, radix_partition, range_join
 from .operators.relational import interpolate
 from .plans.control import evaluate_staged
 from .session import Engine
@@ -150,22 +150,12 @@ def _join_position(engine, sf_dir):
     return gather(events, "event_id", at, "want", ["event_id", "event_type", "value"])
 
 
-@frames("join_range", "select c_seq_no, count(*) n, round(sum(value), 4) total from (select event_id // 100 c_seq_no, min(event_id) a, max(event_id) + 1 b from events group by 1) c join events on event_id >= a and event_id < b where c_seq_no % 7 = 3 group by all", {"total": 4})
+@frames("join_range", "select c_seq_no, count(*) n, round(sum(value), 4) total from (select event_id // 100 c_seq_no, min(event_id) a, max(event_id) + 1 b from events group by 1) c join events on event_id >= a and event_id < b group by all", {"total": 4})
 def _join_range(engine, sf_dir):
-    """Segments expand to positions, which meet the data in an equi-join."""
-    events = engine.named("events").select("event_id", "value")
-    seg = events.groupBy(F.call_function("div", "event_id", F.lit(100)).alias("c_seq_no")).agg(F.min("event_id").alias("a"), (F.max("event_id") + 1).alias("b")).where("c_seq_no % 7 = 3")
-    each = seg.where("b > a").select("c_seq_no", F.explode(F.sequence("a", F.col("b") - 1)).alias("pos"))
-    return each.join(events, F.col("pos") == F.col("event_id")).groupBy("c_seq_no").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-
-
-@frames("join_range_all", "select c_seq_no, count(*) n, round(sum(value), 4) total from (select event_id // 100 c_seq_no, min(event_id) a, max(event_id) + 1 b from events group by 1) c join events on event_id >= a and event_id < b group by all", {"total": 4})
-def _join_range_all(engine, sf_dir):
-    """join_range over every segment."""
+    """Every segment with the samples in its range."""
     events = engine.named("events").select("event_id", "value")
     seg = events.groupBy(F.call_function("div", "event_id", F.lit(100)).alias("c_seq_no")).agg(F.min("event_id").alias("a"), (F.max("event_id") + 1).alias("b"))
-    each = seg.where("b > a").select("c_seq_no", F.explode(F.sequence("a", F.col("b") - 1)).alias("pos"))
-    return each.join(events, F.col("pos") == F.col("event_id")).groupBy("c_seq_no").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return range_join(events, "event_id", seg, "a", "b").groupBy("c_seq_no").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 # -- aggregation -----------------------------------------------------------------------
@@ -200,16 +190,17 @@ expression("append_positional", q.Append(tpch.table("region", "r_regionkey", "r_
 
 expression("fn_year", q.Group(q.Project(T("orders"), q.As(s.y, q.Year(s.o_orderdate))), q.By(s.y), q.As(s.n, q.Count("*"))), "select cast(year(o_orderdate) as integer) y, count(*) n from orders group by all")
 expression("fn_date", q.Project(T("orders"), q.As(s.o_orderkey, s.o_orderkey, s.late, q.Greater(s.o_orderdate, q.DateObject("1998-08-31T00:00")), s.on_day, q.Equal(s.o_orderdate, q.Date("1995-03-15")), s.y, q.Year(q.Date("1995-03-15")))), "select o_orderkey, o_orderdate > date '1998-08-31' late, o_orderdate = date '1995-03-15' on_day, 1995::integer y from orders")
-expression("fn_unixtime", q.Project(q.Select(T("orders"), q.Where(q.Greater(200, s.o_orderkey))), q.As(s.o_orderkey, s.o_orderkey, s.t, q.UnixTime(s.o_orderdate), s.fixed, q.UnixTime("2024-07-01 12:00:00", q.Rule(s.TimeZone, "Europe/Berlin")))), "select o_orderkey, cast(epoch(o_orderdate) as bigint) t, 1719828000::bigint fixed from orders where o_orderkey < 200")
-expression("fn_unixtime_all", q.Project(T("orders"), q.As(s.o_orderkey, s.o_orderkey, s.t, q.UnixTime(s.o_orderdate), s.fixed, q.UnixTime("2024-07-01 12:00:00", q.Rule(s.TimeZone, "Europe/Berlin")))), "select o_orderkey, cast(epoch(o_orderdate) as bigint) t, 1719828000::bigint fixed from orders")
+expression("fn_unixtime", q.Project(T("orders"), q.As(s.o_orderkey, s.o_orderkey, s.t, q.UnixTime(s.o_orderdate), s.fixed, q.UnixTime("2024-07-01 12:00:00", q.Rule(s.TimeZone, "Europe/Berlin")))), "select o_orderkey, cast(epoch(o_orderdate) as bigint) t, 1719828000::bigint fixed from orders")
 expression("fn_concat", q.Project(T("nation"), q.As(s.n_nationkey, s.n_nationkey, s.label, q.StringJoin("<", s.n_name, ">"))), "select n_nationkey, concat('<', n_name, '>') label from nation")
 expression("fn_divide", q.Project(T("part"), q.As(s.p_partkey, s.p_partkey, s.ratio, q.Divide(s.p_partkey, 2), s.whole, q.IntDivide(s.p_partkey, 2))), "select p_partkey, p_partkey / 2 ratio, p_partkey // 2 whole from part")
 expression("fn_multiply_subtract", q.Project(T("part"), q.As(s.p_partkey, s.p_partkey, s.x, q.Multiply(s.p_size, 3), s.y, q.Subtract(s.p_size, 3))), "select p_partkey, p_size * 3 x, p_size - 3 y from part")
 
 
-@frames("fn_span_sum", "select user_id, round(sum(value), 4) total from events group by all", {"total": 4})
+@frames("fn_span_sum", "select user_id, sum(event_id)::bigint total, 1 + 2 + 3 + user_id as written from events group by all")
 def _span_sum(engine, sf_dir):
-    return engine.evaluate(q.Group(T("events"), q.By(s.user_id), q.As(s.total, q.Sum(s.value))))
+    """Plus over an array column and over a span that is written out."""
+    spans = engine.named("events").groupBy("user_id").agg(F.collect_list("event_id").alias("ids"))
+    return engine.evaluate(q.Project(_as_table(engine, spans), q.As(s.user_id, s.user_id, s.total, q.Plus(q.Span(s.ids)), s.written, q.Plus(q.List(1, 2, 3, s.user_id)))))
 
 
 @frames(
@@ -235,12 +226,8 @@ expression("gather_tables", lambda d: q.GatherTables("parquet", s.url, q.Table(q
 expression("parse_tables", lambda d: q.ParseTables("parquet", q.List(f"{d}/region.parquet")), "select * from region")
 
 
-@frames("gather_ranges", "select event_id, value, a from (values (10, 20), (15, 30), (100, 100), (500, 490), (990, 1000)) r(a, b) join events on event_id >= a and event_id < b")
-def _gather_ranges(engine, sf_dir):
-    ranges = engine.spark.createDataFrame([(10, 20), (15, 30), (100, 100), (500, 490), (990, 1000)], "a long, b long")
-    each = ranges.where("b > a").withColumn("pos", F.explode(F.sequence("a", F.col("b") - 1)))
-    events = engine.named("events").select("event_id", "value")
-    return events.join(each, events["event_id"] == each["pos"]).select("event_id", "value", F.col("a").cast("int").alias("a"))
+_RANGES = q.Table(q.a(q.List(10, 15, 100, 500, 990)), q.b(q.List(20, 30, 100, 490, 1000)))
+expression("gather_ranges", q.GatherRanges(q.Project(T("events"), q.As(s.pos, s.event_id, s.event_id, s.event_id, s.value, s.value)), "parquet", s.a, s.b, _RANGES, q.List(s.event_id, s.value), q.Keep(s.a), q.RangeIndex(s.r)), "select event_id, value, a::bigint a, r::bigint r from (values (10, 20, 0), (15, 30, 1), (100, 100, 2), (500, 490, 3), (990, 1000, 4)) r(a, b, r) join events on event_id >= a and event_id < b")
 
 
 @frames("gather_ranges_url", "select event_id, user_id from (values (10, 20), (15, 30), (700, 710)) r(a, b) join events on event_id >= a and event_id < b")
@@ -249,11 +236,12 @@ def _gather_ranges_url(engine, sf_dir):
     return engine.evaluate(q.GatherRanges(f"{sf_dir}/events.parquet", "parquet", s.a, s.b, ranges, q.List(s.event_id, s.user_id)))
 
 
-@frames("partial_table", "select event_id, value, event_id row_index from events where event_id % 5 = 0")
+@frames("partial_table", "select event_id pos, value, event_id wanted from events where event_type = 'purchase'")
 def _partial_table(engine, sf_dir):
-    events = engine.named("events").select("event_id", "value")
-    index = events.where("event_id % 5 = 0").select(F.col("event_id").alias("row_index"))
-    return partial_table(events, "event_id", index, "row_index")
+    """The table's own column `wanted` holds the positions of the rows that stay."""
+    wanted = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    given = _as_table(engine, engine.named("events").select(F.col("event_id").alias("pos"), "value", wanted.alias("wanted")))
+    return engine.evaluate(q.PartialTable(given, s.wanted))
 
 
 @frames("add_indices", "select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) - 1 pos from orders")
@@ -318,17 +306,9 @@ def _for_decode(engine, sf_dir):
     return codec.decode_frames(diffs, "pos", "diff", books, "frame", "ref", 64, "v")
 
 
-@frames("bitpack_decode", "select event_id pos, event_id % 16 v from events where event_id < 4 * (select (max(event_id) + 1) // 4 from events)")
+@frames("bitpack_decode", "select event_id pos, event_id % 16 v from events")
 def _bitpack(engine, sf_dir):
-    events = engine.named("events").select(F.call_function("div", "event_id", F.lit(4)).alias("word"), (F.col("event_id") % 4).alias("i"), (F.col("event_id") % 16).alias("v"))
-    packed = events.groupBy("word").agg(F.expr("cast(sum(shiftleft(v, cast(i * 4 as int))) as bigint)").alias("packed"), F.count(F.lit(1)).alias("n")).where("n = 4")
-    each = packed.select("word", "packed", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
-    return codec.unpack_bits(each, "packed", 4, "i", "v").select((F.col("word") * 4 + F.col("i")).alias("pos"), "v")
-
-
-@frames("bitpack_decode_all", "select event_id pos, event_id % 16 v from events")
-def _bitpack_all(engine, sf_dir):
-    """bitpack_decode with the last word, which need not be full: as many values come out as went in."""
+    """The last word need not be full: as many values come out as went in."""
     events = engine.named("events").select(F.call_function("div", "event_id", F.lit(4)).alias("word"), (F.col("event_id") % 4).alias("i"), (F.col("event_id") % 16).alias("v"))
     packed = events.groupBy("word").agg(F.expr("cast(sum(shiftleft(v, cast(i * 4 as int))) as bigint)").alias("packed"), F.count(F.lit(1)).alias("n"))
     each = packed.select("word", "packed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
@@ -358,3 +338,77 @@ def _rle(engine, sf_dir):
     runs = events.groupBy(F.call_function("div", "pos", F.lit(250)).alias("value")).agg(F.min("pos").alias("start"))
     total = events.agg(F.max("pos") + 1).first()[0]
     return codec.decode_runs(events, "pos", runs, "start", "value", total, "v")
+
+
+# -- columns that are encoded in the query ---------------------------------------------------
+
+_ENCODED = q.Table(
+    q.runs(q.RLEList(q.List(0, 3, 4), q.List(7, 8, 9))), q.frames(q.FORList(3, 6, q.List(100, 200), q.List(0, 1, 2, 0, 5, 6))),
+    q.packed(q.BitPackedList(4, 6, "INT16", "INT64", q.List(0x4321, 0x65))), q.one(q.SingleValueList(64, 6, "INT64", 42)),
+    q.steps(q.SequenceEncodedList(10, -3, 6)), q.numbers(q.DictionaryEncodedList(q.List(1.5, 2.5), q.List(0, 1, 0, 1, 1, 0))),
+    q.codes(q.DictionaryEncodedList(q.List("x", "y"), q.List(1, 0, 1, 0, 0, 1))), q.plain(q.List("a", "b", "c", "d", "e", "f")),
+)
+_ENCODED_SQL = """(select i, [7, 7, 7, 8, 9, 9][i + 1]::bigint runs, [100, 101, 102, 200, 205, 206][i + 1]::bigint frames, (i + 1)::bigint packed, 42::bigint one,
+ (10 - 3 * i)::bigint steps, [1.5, 2.5, 1.5, 2.5, 2.5, 1.5][i + 1]::double numbers, [1, 0, 1, 0, 0, 1][i + 1]::integer codes, ['a', 'b', 'c', 'd', 'e', 'f'][i + 1] plain from range(6) t(i))"""
+expression("encoded_columns", _ENCODED, f"select * exclude (i) from {_ENCODED_SQL}")
+expression("encoded_texts", q.DecodeTable(q.Project(_ENCODED, tpch.keep("plain", "codes"))), f"select plain, ['x', 'y'][codes + 1] codes from {_ENCODED_SQL}")
+expression("get_encoding_url", lambda d: q.GetEncodingForFromURL("purchase", s.event_type, f"{d}/events.parquet"), f"select code from {_CODES} where event_type = 'purchase'")
+expression("get_encoding_url_absent", lambda d: q.GetEncodingForFromURL("no such type", s.event_type, f"{d}/events.parquet"), "select -1::bigint code")
+
+# -- bytes, files, local positions -------------------------------------------------------------
+
+expression("gather_local", q.GatherRows(q.Table(q.k(q.List(10, 20, 30, 40)), q.v(q.List("a", "b", "c", "d"))), q.List(3, 0, 3)), "select * from (values (40::bigint, 'd'), (10, 'a'), (40, 'd')) t(k, v)")
+expression("merge_columns", q.MergeColumns(q.Order(tpch.table("nation", "n_nationkey"), q.By(s.n_nationkey)), q.Order(tpch.table("supplier", "s_suppkey"), q.By(s.s_suppkey))), "select n_nationkey, s_suppkey from (select n_nationkey, row_number() over (order by n_nationkey) i from nation) join (select s_suppkey, row_number() over (order by s_suppkey) i from supplier) using (i)")
+
+# -- other forms of the time-series queries ------------------------------------------------------
+
+for _name, _other in {"ts_m1": timeseries.m1_gathered(), "ts_m2": timeseries.m2_wide(), "ts_m3": timeseries.m3_gathered(), "ts_m4": timeseries.m4_gathered(), "ts_m5": timeseries.m5_gathered(), "ts_m6": timeseries.m6_wide()}.items():
+    expression(f"{_name}_other", _other, ORACLES[_name], {"ts_m1": {"total": 4}, "ts_m2": {"total": 4}, "ts_m3": {"mean": 6}, "ts_m5": {"mean": 6, "total": 4}}.get(_name))
+
+# -- control plane and data definition: each query is a table of what its expressions gave ---------
+
+
+def control_plane(name: str, *steps, sql: str) -> None:
+    """Registers a query whose row is what each of (column, expression or function of (engine, folder)) gave, as text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine, out = Engine.over_parquet(spark, sf_dir), {}
+        for step in steps:
+            column_name, e = step if isinstance(step, tuple) else (None, step)
+            got = e(engine, sf_dir) if callable(e) and not isinstance(e, (Expr, Sym)) else engine.evaluate(e)
+            if column_name:
+                if isinstance(got, DataFrame):
+                    got = sorted(tuple(r) for r in got.collect())
+                out[column_name] = str(got).lower() if isinstance(got, bool) else str(got)
+        return spark.createDataFrame([tuple(out.values())], ", ".join(f"`{c}` string" for c in out))
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+def _restored(key: str, *steps):
+    """What the steps gave, with a session setting put back afterwards."""
+
+    def run(engine, sf_dir):
+        before = engine.spark.conf.get(key, None)
+        try:
+            return [engine.evaluate(e) for e in steps[:-1]] and steps[-1](engine)
+        finally:
+            engine.spark.conf.unset(key) if before is None else engine.spark.conf.set(key, before)
+
+    return run
+
+
+_COUNT = lambda e: q.Group(e, q.As(s.n, q.Count("*")))
+control_plane("ddl_tables", q.CreateTable(s.made, Sym("id:BIGINT"), Sym("name:VARCHAR:10"), Sym("at:DATE")), q.InsertInto(s.made, 1, "one", q.DateObject("2024-02-03")), q.InsertInto(s.made, 2, "two", q.DateObject("2024-02-04")), ("n_rows", _COUNT(q.Table(s.made))), ("schema", q.Schema(s.made)), ("some", q.Project(q.Select(q.Table(s.made), q.Where(q.Equal(s.id, 2))), tpch.keep("id", "name"))), sql="select '[(2,)]' n_rows, 'List(List(id, ''bigint''), List(name, ''string''), List(at, ''date''))' as schema, '[(2, ''two'')]' \"some\"")
+control_plane("ddl_load", lambda engine, d: engine.evaluate(q.Load(s.loaded, f"{d}/nation.parquet")), ("n_rows", _COUNT(q.Table(s.loaded))), sql="select '[(' || count(*) || ',)]' n_rows from nation")
+control_plane("control_variables", q.Set(s.x, 5), ("x", s.x), ("more", q.Increment(s.x)), ("none", q.Increment("text")), ("same", q.Equals(s.x, 5)), ("other", q.NotEquals(q.List(1, s.x), q.List(1, 6))), ("sum", q.Plus(s.x, 2)), ("symbol", q.Symbol("y")), sql="select '5' x, '6' more, '0' none, 'true' same, 'true' other, '7' sum, 'y' symbol")
+control_plane("control_guards", ("open", q.EvaluateIf(q.Equals(1, 1), q.Plus(1, 2))), ("closed", q.EvaluateIf(q.Equals(1, 2), q.Plus(1, 2))), ("cycle", q.NonLECycle(q.Plus(20, 3))), ("passes", q.EvaluateInEngines(q.List(s.identity), q.Plus(1, 1))), ("pipeline", q.SetDefaultEnginePipeline(s.identity)), ("after", q.Plus(2, 2)), ("reset", q.ResetEngines()), sql="select '3' \"open\", 'EvaluateIf(Equals(1, 2), __Plus(1, 2))' closed, '23' \"cycle\", '2' passes, 'true' pipeline, '4' \"after\", 'true' \"reset\"")
+control_plane("control_settings", ("knob", _restored("spark.sql.shuffle.partitions", q.Set(s.maxThreads, 7), lambda engine: engine.spark.conf.get("spark.sql.shuffle.partitions"))), ("threads", _restored("spark.sql.files.minPartitionNum", q.SetNumThreads(3), lambda engine: engine.spark.conf.get("spark.sql.files.minPartitionNum"))), ("spans", _restored("spark.sql.files.minPartitionNum", q.SetNumSpansOut(5), lambda engine: engine.spark.conf.get("spark.sql.files.minPartitionNum"))), ("parallel", q.Let(_COUNT(q.Table(s.nation)), q.Parallel(2))), ("cleared", q.ClearCaches()), sql="select '7' knob, '3' threads, '5' spans, '[(' || count(*) || ',)]' parallel, 'true' cleared from nation")
+control_plane("control_errors", ("unknown", q.NoSuchHead(q.Plus(1, 2))), ("failed", lambda engine, d: engine.safe_evaluate(q.Table(s.no_such_table)).head), ("knows", lambda engine, d: Sym("Group") in engine.evaluate(q.GetEngineCapabilities()).args), ("absent", q.GetEncodingFor("x", s.no_such_column)), sql="select 'NoSuchHead(3)' unknown, case when true then 'ErrorWhenEvaluatingExpression' end failed, 'true' knows, 'InvalidKeyForColumn(''x'', no_such_column)' \"absent\"")
+control_plane("control_tables", q.SaveTable(T("region"), s.kept), ("kept", _COUNT(q.GetTable(s.kept))), ("cleared", q.ClearTables()), ("gone", lambda engine, d: engine.safe_evaluate(q.GetTable(s.kept)).head), sql="select '[(' || count(*) || ',)]' kept, 'true' cleared, 'ErrorWhenEvaluatingExpression' gone from region")
+control_plane("control_overhead", q.StartTrackingOverhead(), T("region"), ("some", lambda engine, d: engine.evaluate(q.GetTotalOverhead()) > 0), ("same", lambda engine, d: engine.evaluate(q.GetOverhead("region")) == engine.evaluate(q.GetTotalOverhead())), ("length", lambda engine, d: engine.evaluate(q.GetFileLength(f"{d}/region.parquet")) == engine.evaluate(q.GetTotalOverhead())), ("stopped", q.StopTrackingOverhead()), sql="select 'true' \"some\", 'true' same, 'true' length, 'true' stopped")
+control_plane("control_readers", ("parsed", q.Parse(to_json(q.Plus(1, q.Times(2, 3))))), ("bytes", q.Parse(q.ByteSequence(to_json(q.Plus(1, 1))))), ("path", lambda engine, d: engine.evaluate(read_path("1/:Plus/2"))), ("fetched", lambda engine, d: _files_read(engine.evaluate(q.Fetch(f"{d}/region.parquet", f"{d}/nation.parquet")))), sql="select '7' parsed, '2' bytes, '3' path, '2' fetched")
+
+
+def _files_read(df: DataFrame) -> int:
+    return df.where("length > 0 and length(content) = length").count()

@@ -49,6 +49,7 @@ class Engine:
         self.spark = spark
         self.catalog = {k.lower(): v for k, v in (catalog or {}).items()}
         self.saved: dict[str, DataFrame] = {}
+        self.inserted: dict[str, tuple] = {}
         self.variables: dict[str, object] = {}
         self.codec = Codec(spark)
         self.pipeline: list[Callable] = []
@@ -120,12 +121,16 @@ class Engine:
         if e.head in registry.relational:
             return registry.relational[e.head](self, e.args)
         args = tuple(self._evaluate(a) for a in e.args)
-        if e.head in ATOMS and all(not isinstance(a, (Expr, Sym, DataFrame)) for a in args):
+        span = e.head == "Plus" and len(args) == 1 and isinstance(args[0], Expr) and args[0].head == "List" and args[0].args
+        if e.head in ATOMS and all(not isinstance(a, (Expr, Sym, DataFrame)) for a in (args[0].args if span else args)):
             return ATOMS[e.head](*args)
         return Expr(e.head, args)
 
 
 def _plus(*xs):
+    """The sum; of one span, the sum of its elements."""
+    if len(xs) == 1 and isinstance(xs[0], Expr) and xs[0].head == "List":
+        xs = xs[0].args
     total = xs[0]
     for x in xs[1:]:
         total = total + x

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..expr import Expr, Sym
 from ..functions.scalar import column, literal_date
+from ..operators import codec
 from ..operators.positions import expand_ranges, gather, gather_ranges
 from ..registry import relation
 
@@ -50,6 +51,8 @@ def table(engine, args) -> DataFrame:
     A value Interpolate(x) is the mean of its neighbours in the order of column x."""
     if len(args) == 1 and isinstance(args[0], (Sym, str)):
         return engine.named(args[0].name if isinstance(args[0], Sym) else args[0])
+    if any(isinstance(a.args[0], Expr) and a.args[0].head in codec.ENCODED for a in args):
+        return _with_encoded(engine, args)
     names = [a.head.lower() for a in args]
     cells = [[c for span in a.args for c in _cells(span if isinstance(span, Expr) and span.head == "List" else Expr("List", (span,)))] for a in args]
     if len({len(c) for c in cells}) > 1:
@@ -68,14 +71,42 @@ def table(engine, args) -> DataFrame:
     return df
 
 
+def _with_encoded(engine, args) -> DataFrame:
+    """A table some of whose columns are encoded: each column by position, side by side."""
+    n, parts = None, []
+    for a in args:
+        if isinstance(a.args[0], Expr) and a.args[0].head in codec.ENCODED:
+            parts.append((a.head.lower(), a.args[0]))
+        else:
+            n = len(_cells(Expr("List", a.args)))
+            parts.append((a.head.lower(), a))
+    lengths = {x for _, e in parts if e.head in codec.ENCODED and (x := codec.encoded_length(e)) is not None} | ({n} if n is not None else set())
+    if len(lengths) != 1:
+        raise ValueError("columns have different lengths" if lengths else "no column tells the table's length")
+    (n,) = lengths
+    out = engine.spark.range(n).select(F.col("id").alias("table__pos"))
+    for name, e in parts:
+        if e.head in codec.ENCODED:
+            side = codec.decode_column(engine, e, name, n)
+        else:
+            cells = _cells(Expr("List", e.args))
+            schema = T.StructType([T.StructField("side__pos", T.LongType()), T.StructField(name, _type_of(cells))])
+            side = engine.spark.createDataFrame(list(enumerate(cells)), schema)
+        out = out.join(side, F.col("table__pos") == F.col("side__pos")).drop("side__pos")
+    return out.select(*[column(name) for name, _ in parts])
+
+
 # -- Parquet by URL ------------------------------------------------------------------
 
 
 def with_positions(df: DataFrame, name: str) -> DataFrame:
     """Rows of files with their 0-based position, files in the order of their paths.
-    The reader knows a row's place in its file; only the sizes of files meet in one place."""
+    The reader knows a row's place in its file; only the sizes of files, of which there are
+    several, meet in one place."""
     from pyspark.sql import Window
 
+    if len(df.inputFiles()) < 2:
+        return df.select(*map(column, df.columns), F.col("_metadata.row_index").alias(name))
     at = df.select(*map(column, df.columns), F.col("_metadata.file_path").alias("file__path"), F.col("_metadata.row_index").alias(name))
     sizes = at.groupBy("file__path").agg((F.max(name) + 1).alias("n"))
     before = F.sum("n").over(Window.orderBy("file__path").rowsBetween(Window.unboundedPreceding, -1))
@@ -113,20 +144,34 @@ def gather_url(engine, args) -> DataFrame:
     return gather(with_positions(df, pos), pos, wanted, "gather__want", [*names, *([pos] if keep else [])])
 
 
+def _written_bounds(e, start: str, end: str) -> tuple[int, int] | None:
+    """The least start and greatest end of a range table that is written out in the query."""
+    if not (isinstance(e, Expr) and e.head == "Table" and all(isinstance(c, Expr) and c.args and isinstance(c.args[0], Expr) and c.args[0].head == "List" for c in e.args)):
+        return None
+    cells = {c.head.lower(): [v for v in _cells(c.args[0]) if v is not None] for c in e.args}
+    low, high = cells.get(start.lower()), cells.get(end.lower())
+    return (min(low), max(high)) if low and high else None
+
+
 @relation("GatherRanges")
 def gather_ranges_url(engine, args) -> DataFrame:
-    """GatherRanges(url, loader, start column, end column, range table, List(column, ...)):
+    """GatherRanges(url, loader, start column, end column, range table, List(column, ...) [, options]):
     for each row of the range table the rows of the remote table at [start, end).
-    A url that is an expression is a table itself; its column `pos` holds the positions."""
+    A url that is an expression is a table itself; its column `pos` holds the positions.
+    Options: Keep(column, ...) carries columns of the range table along, RangeIndex(name)
+    gives the range's place in it."""
     url, _, start, end, ranges, columns = args[:6]
+    keep = [c for x in args[6:] if isinstance(x, Expr) and x.head == "Keep" for c in _listed(x)]
+    number = next((_listed(x)[0] for x in args[6:] if isinstance(x, Expr) and x.head == "RangeIndex"), None)
     names = [c.lower() for c in _listed(columns)]
+    within = _written_bounds(ranges, start.name, end.name)
     if isinstance(url, str):
         df = engine.spark.read.parquet(url)
         names = names or [c.lower() for c in df.columns]
-        df = with_positions(df.select(*map(column, names)), "range__pos")
-        return gather_ranges(df, "range__pos", engine.frame(ranges), start.name, end.name, names)
-    df = engine.frame(url)
-    return gather_ranges(df, "pos", engine.frame(ranges), start.name, end.name, names)
+        df, pos = with_positions(df.select(*map(column, names)), "range__pos"), "range__pos"
+    else:
+        df, pos = engine.frame(url), "pos"
+    return gather_ranges(df, pos, engine.frame(ranges), start.name, end.name, names, within, keep, number)
 
 
 def _urls(engine, e, url_column) -> list[str]:
@@ -208,6 +253,12 @@ def whole_files(spark, *urls: str) -> DataFrame:
     return spark.read.format("binaryFile").load(list(urls)).select("path", "length", "content")
 
 
+@relation("Fetch")
+def fetch(engine, args) -> DataFrame:
+    """Fetch(url, ...): (path, length, content) of whole files."""
+    return whole_files(engine.spark, *map(str, args))
+
+
 def file_length(spark, url: str) -> int:
     """Bytes of a file, from its store's metadata."""
     path = spark._jvm.org.apache.hadoop.fs.Path(url)

@@ -54,8 +54,48 @@ def _in_segments(where: Expr) -> Expr:
 
 
 def m0(channel: str = "click", first: str = "2024-01-03", last: str = "2024-01-05") -> Expr:
-    """Sum of samples by station, of one channel, in segments that begin in a window."""
-    return q.Group(q.Select(_in_segments(q.And(*_within(s.start_time, first, last))), q.Where(q.Equal(s.channel, channel))), q.By(s.station), q.As(s.total, q.Sum(s.sample_value)))
+    """Sum of samples by station, of one channel, in segments that begin in a window.
+    Files and segments are joined; a gathered sample is kept if its file and segment are those picked."""
+    picked = q.Select(catalog(), q.Where(q.And(*_within(s.start_time, first, last))))
+    picked = q.Project(q.Join(files(), picked, q.Where(q.Equal(s.f_file_key, s.c_file_key))), q.As(s.f_file_key, s.f_file_key, s.c_seq_no, s.c_seq_no, s.c_start, s.c_start, s.c_end, s.c_end))
+    sampled = q.GatherRanges(data(), "parquet", s.c_start, s.c_end, picked, q.List(s.channel, s.station, s.d_file_key, s.d_seq_no, s.sample_value), q.Keep(s.f_file_key, s.c_seq_no))
+    same = q.And(q.Equal(s.channel, channel), q.Equal(s.f_file_key, s.d_file_key), q.Equal(s.c_seq_no, s.d_seq_no))
+    return q.Group(q.Select(sampled, q.Where(same)), q.By(s.station), q.As(s.total, q.Sum(s.sample_value)))
+
+
+def _sampled(where: Expr, *columns) -> Expr:
+    """The other form of a query over the wide table: positions are picked first, then the named columns are gathered by position."""
+    at = q.Project(q.Select(samples(), q.Where(where)), q.As(s.a, s.pos, s.b, q.Plus(s.pos, 1)))
+    return q.GatherRanges(data(), "parquet", s.a, s.b, at, q.List(*columns))
+
+
+def m1_gathered(channel: str = "view", station: int = 7, first: str = "2024-01-02", last: str = "2024-01-20") -> Expr:
+    where = q.And(q.Equal(s.channel, channel), q.Equal(s.station, station), *_within(s.sample_time, first, last))
+    return q.Group(_sampled(where, s.sample_value), q.As(s.total, q.Sum(s.sample_value), s.n, q.Count("*")))
+
+
+def m2_wide(channel: str = "view", first: str = "2024-01-02", last: str = "2024-01-06", from_: str = "2024-01-03", to: str = "2024-01-05") -> Expr:
+    """m2 with the wide table joined to the catalog by segment."""
+    picked = q.Project(q.Select(catalog(), q.Where(q.And(*_within(s.start_time, first, last)))), q.As(s.c_seq_no, s.c_seq_no))
+    some = q.Select(samples(), q.Where(q.And(q.Equal(s.channel, channel), *_within(s.sample_time, from_, to))))
+    return q.Group(q.Join(picked, some, q.Where(q.Equal(s.c_seq_no, s.seq_no))), q.As(s.total, q.Sum(s.sample_value), s.n, q.Count("*")))
+
+
+def m3_gathered(station: int = 7) -> Expr:
+    return q.Group(_sampled(q.Equal(s.station, station), s.channel, s.sample_value), q.By(s.channel), q.As(s.mean, q.Avg(s.sample_value)))
+
+
+def m4_gathered(station: int = 7) -> Expr:
+    return _sampled(q.Equal(s.station, station), s.sample_value, s.sample_time, s.channel)
+
+
+def m5_gathered(channel: str = "purchase") -> Expr:
+    return q.Group(_sampled(q.Equal(s.channel, channel), s.station, s.sample_value), q.By(s.station), q.As(s.mean, q.Avg(s.sample_value), s.total, q.Sum(s.sample_value)))
+
+
+def m6_wide(first: int = 0, end: int = 720) -> Expr:
+    """m6 as a filter on positions."""
+    return q.Project(q.Select(samples(), q.Where(q.And(q.Greater(s.pos, first - 1), q.Greater(end, s.pos)))), q.As(s.sample_time, s.sample_time, s.sample_value, s.sample_value))
 
 
 def m1(channel: str = "view", station: int = 7, first: str = "2024-01-02", last: str = "2024-01-20") -> Expr:

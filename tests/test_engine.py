@@ -256,3 +256,52 @@ def test_decoders(spark):
     got = codec.decode_dictionary(spark.createDataFrame([(1,), (0,), (9,)], "c int"), "c", book, "code", "value", "v").collect()
     assert sorted((r.c, r.v) for r in got) == [(0, "x"), (1, "y"), (9, None)]
     assert [tuple(r) for r in codec.decode_sequence(spark, 5, -2, 3, "v").orderBy("pos").collect()] == [(0, 5), (1, 3), (2, 1)]
+
+
+def test_interpolation_reaches_across_runs(spark, monkeypatch):
+    """Runs of few rows give what one sorted run gives, with groups and without."""
+    import random
+
+    from larkspur.operators import relational
+
+    monkeypatch.setattr(relational, "RUN", 3)
+    r = random.Random(1)
+    rows = [(i, i % 2, None if r.random() < 0.6 else float(r.randint(0, 9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "x long, g long, y double").repartition(4)
+    for by in ([], ["g"]):
+        got = {x.x: x.y for x in relational.interpolate(df, "x", "y", by).collect()}
+        for i, g, y in rows:
+            line = [v for j, h, v in rows if v is not None and j < i and (not by or h == g)]
+            after = [v for j, h, v in rows if v is not None and j > i and (not by or h == g)]
+            want = y if y is not None else (line[-1] + after[0]) / 2 if line and after else None
+            assert got[i] == want, (by, i)
+
+
+def test_inserted_rows_are_one_local_table(spark):
+    engine = Engine(spark)
+    engine.evaluate(q.CreateTable(s.t, Sym("k:BIGINT")))
+    for i in range(40):
+        engine.evaluate(q.InsertInto(s.t, i))
+    df = engine.evaluate(q.Table(s.t))
+    assert df._jdf.queryExecution().logical().toString().count("Union") == 1
+    assert sorted(r.k for r in df.collect()) == list(range(40))
+
+
+def test_ranges_keep_their_order(spark):
+    engine = Engine(spark, {"d": spark.createDataFrame([(i, chr(97 + i)) for i in range(20)], "pos long, v string")})
+    ranges = q.Table(q.a(q.List(9, 2, 2)), q.b(q.List(11, 4, 3)))
+    out = engine.evaluate(q.GatherRanges(q.Table(s.d), "parquet", s.a, s.b, ranges, q.List(s.pos, s.v), q.RangeIndex(s.r)))
+    assert [(r.pos, r.v) for r in out.orderBy("r", "pos").collect()] == [(9, "j"), (10, "k"), (2, "c"), (3, "d"), (2, "c")]
+
+
+def test_encoded_columns_of_unlike_lengths(spark):
+    with pytest.raises(ValueError):
+        Engine(spark).evaluate(q.Table(q.a(q.SequenceEncodedList(0, 1, 3)), q.b(q.SingleValueList(64, 4, "INT64", 1))))
+    with pytest.raises(ValueError):
+        Engine(spark).evaluate(q.Table(q.a(q.RLEList(q.List(0), q.List(1)))))
+
+
+def test_no_dictionary_at_a_url(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "k long, v string").write.parquet(str(tmp_path / "t"))
+    with pytest.raises(KeyError):
+        Engine(spark).evaluate(q.GetEncodingForFromURL("x", s.k, str(tmp_path / "t")))
