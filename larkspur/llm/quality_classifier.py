@@ -5,7 +5,8 @@ as log odds.  Hosts and paths of hosts differ in their share of good documents;
 these shares are estimated by shrinking: a host's towards the global share, a
 path's towards its host's, the more the fewer documents there are.  How strongly
 is estimated from the spread of the shares themselves (the empirical part).  A
-document's posterior is its evidence with the path's share as prior odds.
+document's posterior is its evidence with the path's share as prior odds; what the
+document itself adds to that share is counted out first, so that nothing counts twice.
 
 Scale: texts are read once; what goes on is a dozen numbers per document, in the
 checkpoint folder.  The regression takes Newton steps, each an aggregation of
@@ -18,7 +19,8 @@ Defined cases: null and empty texts have the statistics of no words; labels that
 repeat for a document are averaged; null labels are not learnt from; with no
 labels, or labels of one kind alone, the evidence is 0 and the prior decides; a
 null host or path is one of its own; rows that repeat an id are each judged, and
-count each; an empty table gives an empty result.
+count each; of a site's repeated rows the one of the least host and path counts; ties
+of shares do not matter, as nothing is ranked; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -149,7 +151,7 @@ def quality_classifier(
     host_col: str = "source", path_col: str = "lang", label_id: str = "doc_id", label_col: str = "quality", least: float = 0.5,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, evidence (log odds), host_share,
-    path_share, quality (posterior, 0 to 1), kept (quality >= least).
+    path_share (without the document itself), quality (posterior, 0 to 1), kept (quality >= least).
 
     `sites` has site_id, site_host and site_path for documents whose host and
     path are known otherwise than by their own columns; one row for each id."""
@@ -162,6 +164,7 @@ def quality_classifier(
     measured = _measured(base, "text")
     measured = measured.join(known, measured["doc_id"] == known["label_of"], "left").drop("label_of")
     if sites is not None:
+        sites = sites.groupBy("site_id").agg(F.min(F.struct("site_host", "site_path")).alias("site")).select("site_id", "site.site_host", "site.site_path")
         measured = measured.join(sites, measured["doc_id"] == sites["site_id"], "left")
         measured = measured.withColumns({"host": F.coalesce("site_host", "host"), "path": F.coalesce("site_path", "path")})
         measured = measured.drop("site_id", "site_host", "site_path")
@@ -182,11 +185,12 @@ def quality_classifier(
     hosts = hosts.select("host", shrunk.alias("host_share"))
     paths = paths.join(hosts, "host")
     path_worth = _strength(paths, "share", F.col("host_share"))
-    shrunk = F.round((F.col("n") * F.col("share") + path_worth * F.col("host_share")) / (F.col("n") + path_worth), 9)
-    prior = checkpointed(paths.select(forget_partitioning(F.xxhash64("host", "path")).alias("k"), F.col("host").alias("ph"), F.col("path").alias("pp"), "host_share", shrunk.alias("path_share")))
+    prior = checkpointed(paths.select(forget_partitioning(F.xxhash64("host", "path")).alias("k"), F.col("host").alias("ph"), F.col("path").alias("pp"), "host_share", "n", "share"))
 
-    keyed = scored.withColumn("k", forget_partitioning(F.xxhash64("host", "path")))
+    keyed = scored.withColumn("own", share).withColumn("k", forget_partitioning(F.xxhash64("host", "path")))
     out = keyed.join(prior, (keyed["k"] == prior["k"]) & (keyed["host"] == prior["ph"]) & (keyed["path"] == prior["pp"]))
+    others = (F.col("n") * F.col("share") - F.col("own") + path_worth * F.col("host_share")) / (F.col("n") - 1 + path_worth)
+    out = out.withColumn("path_share", F.round(F.least(F.greatest(others, F.lit(0.0)), F.lit(1.0)), 9))
     bounded = F.least(F.greatest(F.col("path_share"), F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = F.col("evidence") - float(np.log(base_share / (1 - base_share))) * float(min(kinds) > 0) + _logit(bounded)
     out = out.withColumn("quality", F.round(1 / (1 + F.exp(-odds)), 9))
