@@ -1,20 +1,28 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of lines that speak of licences.  Notices of several
-paragraphs have blank or comment-only lines between them, so neighbouring
-paragraphs are also taken together.  Each block is compressed by zstandard alone, and with each template as a raw-content
+Candidate blocks are neighbouring lines that speak of licences; notices of several
+paragraphs have blank or comment-only lines between them, which do not end a block.
+A block is compressed by zstandard alone, and with each template as a raw-content
 dictionary; a template that the block repeats makes it much smaller.  Templates
-are ranked by that reduction, and the best ones are confirmed by an exact
-comparison of words: what the block has more, less or otherwise than the
-template counts as a difference.
+are ranked by that reduction, and confirmed by an exact comparison of words: the
+template is aligned with the words of the block that are nearest to it, and what
+these have more, less or otherwise than the template counts as a difference.
+The confirmed template that repeats most words wins.  Its words are cut out, and
+what is left before and after them is searched in the same way, so a block may hold
+several notices, on one line or on many, and other prose beside them.
+
+Every template is compared unless it cannot be there: where no stretch of the block
+has enough of its words in common, in whatever order, no alignment has few enough
+differences.
 
 Scale: one pass over the documents without a shuffle.  Templates are a fixed
 list that goes with the function.  Licence lines repeat very much, so a worker
 keeps what it found for the latest blocks; this changes time, not results.
 
 Defined cases: null and empty texts have no blocks; repeated rows are scanned
-each; of templates equally near, the first by name wins; a block of any length
-is compared as a whole; columns other than id and text are not read.
+each; of templates that repeat as many words, the one of fewer differences wins, then
+the one that is ranked first, then the first by name, and its first place; a block
+of any length is compared as a whole; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -113,53 +121,24 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks_of(text: str | None, vocabulary: set[str]) -> list[tuple[int, int, str]]:
-    """(first line, number of lines, text) of candidate blocks: neighbouring lines
-    with words, at least half of them in `vocabulary`, one line at least with a licence term."""
+def regions_of(text: str | None, vocabulary: set[str]) -> list[tuple[list[str], list[int]]]:
+    """(words, the line of each) of the candidate blocks: neighbouring lines with a licence
+    term or with words at least half of which are in `vocabulary`, one at least with a term."""
     if not text or not _TRIGGER.search(text):
         return []
-    out, run, told = [], [], False
-    lines = text.split("\n")
-    for i, line in enumerate([*lines, ""]):
-        words = words_of(line)
-        if words and 2 * sum(w in vocabulary for w in words) >= len(words):
-            run.append(line)
-            told = told or bool(_TRIGGER.search(line))
-            continue
-        if told:
-            out.append((i - len(run), len(run), "\n".join(run)))
-        run, told = [], False
-    return out
-
-
-def paragraphs_of(text: str | None, vocabulary: set[str]) -> list[list[tuple[int, int, list[str], str, bool]]]:
-    """Groups of (first line, number of lines, words, text, has a licence term): neighbouring
-    lines with words, at least half of them in `vocabulary`.  Paragraphs of a group
-    have only lines without words between them; one at least has a licence term."""
-    if not text or not _TRIGGER.search(text):
-        return []
-    out, group, run, held = [], [], [], []
-
-    def close(at):
-        if run:
-            block = "\n".join(run)
-            group.append((at - len(run), len(run), list(held), block, bool(_TRIGGER.search(block))))
-            run.clear()
-            held.clear()
-
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        words = words_of(line)
-        if words and 2 * sum(w in vocabulary for w in words) >= len(words):
-            run.append(line)
+    out, held, at, told = [], [], [], False
+    for i, line in enumerate([*text.split("\n"), None]):
+        words = words_of(line) if line is not None else []
+        term = bool(words) and bool(_TRIGGER.search(line))
+        if words and (term or 2 * sum(w in vocabulary for w in words) >= len(words)):
             held += words
-            continue
-        close(i)
-        if words and group:
-            out.append(group)
-            group = []
-    close(len(lines))
-    return [g for g in [*out, group] if any(p[4] for p in g)]
+            at += [i] * len(words)
+            told = told or term
+        elif words or line is None:
+            if told:
+                out.append((held, at))
+            held, at, told = [], [], False
+    return out
 
 
 def differences(block: list[str], template: list[str]) -> tuple[int, int, int]:
@@ -183,97 +162,125 @@ def differences(block: list[str], template: list[str]) -> tuple[int, int, int]:
     return above[n][1:]
 
 
+def located(words: list[str], template: list[str]) -> tuple[int, int, int, int, int]:
+    """(first, end, missing, extra, changed) of the stretch of `words` nearest to the whole
+    template; of stretches equally near the first that ends, and its longest."""
+    # Columns of (cost, first, missing, extra, changed), one for each end in `words`; a stretch begins anywhere at no cost.
+    n = len(template)
+    above = [(j, 0, j, 0, 0) for j in range(n + 1)]
+    best, end = above[n], 0
+    for i, w in enumerate(words, 1):
+        row = [(0, i, 0, 0, 0)]
+        for j, t in enumerate(template, 1):
+            c, f, m, e, x = above[j - 1]
+            now = (c, f, m, e, x) if w == t else (c + 1, f, m, e, x + 1)
+            c, f, m, e, x = above[j]
+            if c + 1 < now[0]:
+                now = (c + 1, f, m, e + 1, x)
+            c, f, m, e, x = row[j - 1]
+            if c + 1 < now[0]:
+                now = (c + 1, f, m + 1, e, x)
+            row.append(now)
+        above = row
+        if above[n][0] < best[0]:
+            best, end = above[n], i
+    return (best[1], end, *best[2:])
+
+
 class Scanner:
-    """Templates with their compressors.  A block is an instance of a template if
-    its differences are at most `most_different` of the template's words."""
+    """Templates with their compressors.  Words of a block are an instance of a template
+    if their differences are at most `most_different` of the template's words."""
 
-    def __init__(self, templates: dict[str, str], tried: int, most_different: float):
+    def __init__(self, templates: dict[str, str], most_different: float):
         import zstandard as z
 
-        self.tried, self.most_different = tried, most_different
         self.words = {k: words_of(v) for k, v in sorted(templates.items())}
         self.vocabulary = {w for x in self.words.values() for w in x}
-        self.bags = [(len(x), Counter(x)) for x in self.words.values()]
-        self.longest = max((len(x) for x in self.words.values()), default=0) * (1 + most_different)
+        self.bags = {k: Counter(x) for k, x in self.words.items()}
+        self.most = {k: int(most_different * len(x)) for k, x in self.words.items()}
         bare = z.ZstdCompressionParameters.from_level(19, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone = z.ZstdCompressor(compression_params=bare)
         given = lambda w: z.ZstdCompressionDict(" ".join(w).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
         self.with_template = {k: z.ZstdCompressor(compression_params=bare, dict_data=given(w)) for k, w in self.words.items()}
-        self.known: dict[str, tuple | None] = {}
+        self.known: dict[str, list[tuple]] = {}
 
-    def runs(self, group: list[tuple]) -> list[tuple[int, int]]:
-        """(first, last) of the runs of paragraphs that have a licence term and could be an
-        instance of a template: an edit changes the number of words by 1 at most, and the words in common."""
-        out = []
-        for i in range(len(group)):
-            n, told, bag = 0, False, Counter()
-            for j in range(i, len(group)):
-                n += len(group[j][2])
-                if n > self.longest:
-                    break
-                told = told or group[j][4]
-                bag.update(group[j][2])
-                if told and any(
-                    abs(n - size) <= self.most_different * size and max(n, size) - (bag & have).total() <= self.most_different * size for size, have in self.bags
-                ):
-                    out.append((i, j))
+    def stretches(self, words: list[str], name: str) -> list[tuple[int, int]]:
+        """(first, end) of all that an instance of the template can lie in: each
+        difference costs one of the words in common, and adds one word at most."""
+        bag, most = self.bags[name], self.most[name]
+        size, need = len(self.words[name]) + most, len(self.words[name]) - most
+        have: Counter = Counter()
+        common, out = 0, []
+        for i, w in enumerate(words):
+            if w in bag:
+                have[w] += 1
+                common += have[w] <= bag[w]
+            if i >= size and (v := words[i - size]) in bag:
+                common -= have[v] <= bag[v]
+                have[v] -= 1
+            if common >= need:
+                first = max(0, i + 1 - size)
+                if out and first <= out[-1][1]:
+                    out[-1] = (out[-1][0], i + 1)
+                else:
+                    out.append((first, i + 1))
         return out
 
-    def scan(self, text: str | None) -> list[tuple]:
-        """(first line, number of lines, license, reduction, missing, extra, changed) of the confirmed
-        runs of paragraphs; of runs that overlap, the one that repeats most words of its template."""
-        out = []
-        for group in paragraphs_of(text, self.vocabulary):
-            found = []
-            for i, j in self.runs(group):
-                first, last = group[i], group[j]
-                block = "\n".join(p[3] for p in group[i : j + 1])
-                if best := self.best(block):
-                    name, _, missing, extra, changed = best
-                    found.append((missing + changed - len(self.words[name]), extra, i, j, (first[0], last[0] + last[1] - first[0], *best)))
-            taken: set[int] = set()
-            for _, _, i, j, row in sorted(found):
-                if taken.isdisjoint(range(i, j + 1)):
-                    taken.update(range(i, j + 1))
-                    out.append(row)
-        return sorted(out)
-
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Templates by the reduction of the block's compressed size, largest first."""
-        plain = " ".join(words_of(block)).encode()
-        size = len(self.alone.compress(plain))
-        return sorted(((1 - len(c.compress(plain)) / size, k) for k, c in self.with_template.items()), key=lambda x: (-x[0], x[1]))
+    def gain(self, words: list[str], name: str) -> float:
+        """The share by which the template reduces the words' compressed size."""
+        plain = " ".join(words).encode()
+        return 1 - len(self.with_template[name].compress(plain)) / len(self.alone.compress(plain))
 
-    def best(self, block: str) -> tuple | None:
-        """(license, reduction, missing, extra, changed) of the confirmed winner."""
-        if block in self.known:
-            return self.known[block]
-        words, found = words_of(block), None
-        for gain, name in self.ranked(block)[: self.tried]:
-            template = self.words[name]
-            if gain <= 0 or len(words) > 3 * len(template) or len(template) > 3 * len(words):
+    def instances(self, words: list[str]) -> list[tuple]:
+        """(first, end, license, reduction, missing, extra, changed) of all instances in a block, in order."""
+        key = " ".join(words)
+        if (found := self.known.get(key)) is not None:
+            return found
+        out: list[tuple] = []
+        left = [(0, len(words))]
+        while left:
+            lo, hi = left.pop()
+            some = words[lo:hi]
+            if not some or not _TRIGGER.search(" ".join(some)):
                 continue
-            d = differences(words, template)
-            if sum(d) <= self.most_different * len(template) and (found is None or sum(d) < sum(found[2:])):
-                found = (name, gain, *d)
+            may = {k: places for k in self.words if (places := self.stretches(some, k))}
+            ranked = sorted((-self.gain(some, k), k) for k in may)
+            best = None
+            for rank, (gain, name) in enumerate(ranked):
+                if gain >= 0:
+                    continue
+                for a, b in may[name]:
+                    s, e, *d = located(some[a:b], self.words[name])
+                    if sum(d) <= self.most[name]:
+                        order = (d[0] + d[2] - len(self.words[name]), sum(d), rank, a + s)
+                        if best is None or order < best[0]:
+                            best = (order, lo + a + s, lo + a + e, name, d)
+            if best:
+                _, s, e, name, d = best
+                out.append((s, e, name, self.gain(words[s:e], name), *d))
+                left += [(lo, s), (e, hi)]
         if len(self.known) > 50_000:
             self.known.clear()
-        self.known[block] = found
-        return found
+        self.known[key] = sorted(out)
+        return self.known[key]
+
+    def scan(self, text: str | None) -> list[tuple]:
+        """(first line, number of lines, license, reduction, missing, extra, changed) of all instances."""
+        return [(at[s], at[e - 1] - at[s] + 1, *rest) for words, at in regions_of(text, self.vocabulary) for s, e, *rest in self.instances(words)]
 
 
 def license_scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, tried: int = 4, most_different: float = 0.25
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, most_different: float = 0.25
 ) -> DataFrame:
-    """One row per confirmed block: doc_id, block_line (from 0), n_lines, license,
+    """One row per instance of a template: doc_id, block_line (from 0), n_lines, license,
     reduction (share of the compressed size saved), n_missing, n_extra, n_changed (words) and exact."""
     given = dict(templates or TEMPLATES)
 
     def run(batches):
         scanners = worker_cache("license_scanners", dict)
-        key = (tuple(sorted(given.items())), tried, most_different)
+        key = (tuple(sorted(given.items())), most_different)
         if key not in scanners:
-            scanners[key] = Scanner(given, tried, most_different)
+            scanners[key] = Scanner(given, most_different)
         scan = scanners[key]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:

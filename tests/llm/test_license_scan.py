@@ -1,7 +1,7 @@
 import random
 import textwrap
 
-from larkspur.llm.license_scan import TEMPLATES, Scanner, blocks_of, differences, license_scan
+from larkspur.llm.license_scan import TEMPLATES, Scanner, differences, license_scan, located, regions_of, words_of
 
 from .conftest import words
 
@@ -25,9 +25,51 @@ def test_differences():
 
 
 def test_every_template_is_its_own_best():
-    scan = Scanner(TEMPLATES, 4, 0.25)
+    scan = Scanner(TEMPLATES, 0.25)
     for name, text in TEMPLATES.items():
-        assert scan.best(text)[0] == name and not any(scan.best(text)[2:]), name
+        (found,) = scan.instances(words_of(text))
+        assert found[2] == name and not any(found[4:]), name
+
+
+def test_located_is_the_nearest_stretch():
+    r = random.Random(4)
+    for _ in range(200):
+        a, b = [r.choice("abc") for _ in range(r.randint(0, 12))], [r.choice("abc") for _ in range(r.randint(1, 5))]
+        s, e, missing, extra, changed = located(a, b)
+        assert missing + extra + changed == distance(a[s:e], b) == min(distance(a[i:j], b) for i in range(len(a) + 1) for j in range(i, len(a) + 1))
+
+
+def test_neighbouring_and_embedded_notices(documents):
+    """Notices line by line, several on one line, and within prose."""
+    rows = [
+        (1, "Released under the MIT License.\n" + TEMPLATES["CC-BY-4.0"]),
+        (2, "My great parser for toy grammars, by Jane Doe and friends. Released under the MIT License."),
+        (3, "some prose\n" + TEMPLATES["MPL-2.0"] + " " + TEMPLATES["Apache-2.0"] + " and then more prose on " + TEMPLATES["Unlicense"]),
+        (4, TEMPLATES["MIT-text"] + "\n" + TEMPLATES["MIT-text"]),
+    ]
+    found = sorted((x.doc_id, x.block_line, x.license, x.exact) for x in license_scan(documents(rows)).collect())
+    assert found == [
+        (1, 0, "MIT", True), (1, 1, "CC-BY-4.0", True), (2, 0, "MIT", True),
+        (3, 1, "Apache-2.0", True), (3, 1, "MPL-2.0", True), (3, 1, "Unlicense", True), (4, 0, "MIT-text", True), (4, 1, "MIT-text", True),
+    ]
+
+
+def test_recall_over_all_templates(documents):
+    """Every template, in every kind of surroundings, exact and with a word in ten edited."""
+    r, rows, want = random.Random(5), [], {}
+    for name, text in sorted(TEMPLATES.items()):
+        for edit in (False, True):
+            w = text.split()
+            if edit:
+                for at in range(7, len(w), 10):
+                    w[at] = "thing"
+            for before, after in (("", ""), ("prose here ", " and there"), ("a line\n\n", "\n\nof prose"), ("under copyright of nobody\n", "\nall warranty is void")):
+                want[len(rows)] = name
+                rows.append((len(rows), before + " ".join(w) + after))
+    found: dict = {}
+    for x in license_scan(documents(rows)).collect():
+        found.setdefault(x.doc_id, set()).add(x.license)
+    assert sum(want[d] in found.get(d, ()) for d in want) >= 0.99 * len(want)
 
 
 def test_found_in_texts(documents, edges):
@@ -53,8 +95,8 @@ def test_found_in_texts(documents, edges):
 
 def test_blocks_and_nothing(documents):
     vocabulary = {"license", "the", "mit", "under"}
-    assert blocks_of("x y z\nunder the MIT license\n\nthe license", vocabulary) == [(1, 1, "under the MIT license"), (3, 1, "the license")]
-    assert blocks_of(None, vocabulary) == [] and license_scan(documents([])).count() == 0
+    assert regions_of("x y z\nunder the MIT license\n\nthe license\na b\nthe mit", vocabulary) == [(["under", "the", "mit", "license", "the", "license"], [1, 1, 1, 1, 3, 3])]
+    assert regions_of(None, vocabulary) == [] and license_scan(documents([])).count() == 0
 
 
 #: Words at which notices start a new paragraph in their published layout.
