@@ -7,26 +7,32 @@ the block is the suffix of some pattern, and the bucket of that suffix holds the
 patterns to compare with the text directly.  Items with fewer words than a
 window are one pattern each; patterns of each length have tables of their own.
 
-Scale: one pass over the documents, no shuffle.  Tables are built on the driver
-from the test items, whose size is checked: beyond `block_bytes` of item text
-the items are dealt into blocks of that size, each block searches all documents,
-and the hits of the blocks are put together per document.  The documents are
-never collected.
+Scale: one pass over the documents, no shuffle.  Items are read block by block, of
+at most `block_bytes` of text, and broadcast; a worker builds a block's tables once,
+as arrays of numbers (some 10 bytes for each byte of text at most, and the distinct
+words).  Each further block is a pass of its own over what the one before has
+checkpointed, so that a worker holds one block at a time; the hits of the blocks are
+put together per document.  The documents are never collected.
 
 Defined cases: a null text has no words; an item without words has no window;
-repeated items (same id) and items of equal text all count; an item id that is
-null is left out; documents pass through in any number, also with equal ids;
-empty tables give no hits.
+repeated items (same id) and items of equal text all count, and a window of several
+items counts for each; an item id that is null is left out; documents pass through in
+any number, also with equal ids, and texts of any length are searched whole (a
+text's words are in memory); empty tables give no hits.
 """
 
 from __future__ import annotations
 
+import uuid
+from array import array
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, quoted, with_mapped
+from .common import checkpointed, fresh, mix64, quoted, with_mapped, worker_cache
 
 #: Bytes that are no part of a word become spaces, A-Z become a-z; all bytes from 0x80 on are word bytes.
 _TO_WORDS = bytes(
@@ -39,72 +45,117 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split() if text else []
 
 
+def _ints(x: np.ndarray) -> array:
+    return array("i", x.astype(np.int32).tobytes())
+
+
+def _starts(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the numbers from 0 to n - 1 begins, and the last ends, once they are sorted."""
+    return np.concatenate([[0], np.cumsum(np.bincount(numbers, minlength=n))])
+
+
 class WuManber:
-    """Search tables for patterns of one length, counted in words."""
+    """Search tables for patterns of one length, counted in words.
+
+    Words are numbers from 1; a pattern is a place in `stream`, the words of all
+    items one after the other.  A block of words is known by its hash: blocks of one
+    hash share the lesser shift and the bucket, which costs comparisons, never results."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]], length: int):
-        self.length = length
-        self.block = min(2, length)
-        self.shift: dict = {}
-        self.buckets: dict = {}
+    def __init__(self, stream: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int):
+        """Patterns begin at `at` and belong to the items `owner`, by number."""
+        self.length, self.block = length, min(2, length)
+        bits = max(10, min(22, len(at).bit_length()))
+        self.mask = (1 << bits) - 1
         far = length - self.block
-        for pattern, items in patterns.items():
-            for end in range(self.block, length + 1):
-                key, jump = self._block(pattern, end), length - end
-                if jump < self.shift.get(key, far + 1):
-                    self.shift[key] = jump
-            self.buckets.setdefault(self._block(pattern, length), []).append((pattern, tuple(items)))
-
-    def _block(self, words, end: int):
-        return words[end - 1] if self.block == 1 else (words[end - 2], words[end - 1])
-
-    def search(self, words: list[bytes], found) -> None:
-        """Calls found(first word, items) for each occurrence of a pattern."""
+        shift = np.full(1 << bits, far + 1, np.int32)
+        for end in range(self.block, length + 1):
+            np.minimum.at(shift, self._hashes(stream, at + end), length - end)
+        self.shift = _ints(shift)
+        # Equal patterns are one, with all their items.  They have one hash; should unlike ones have it too, each run of equal ones is one.
+        content = np.full(len(at), length, np.uint64)
+        for i in range(length):
+            content = mix64(content ^ stream[at + i].astype(np.uint64))
+        order = np.argsort(content, kind="stable")
+        del content
+        at, owner = at[order], owner[order]
+        new = np.ones(len(at), bool)
+        new[1:] = False
+        for i in range(length):
+            new[1:] |= stream[at[1:] + i] != stream[at[:-1] + i]
+        pairs = np.unique((np.cumsum(new) - 1) << 32 | owner)
+        self.item_start = _ints(_starts(pairs >> 32, int(new.sum())))
+        self.items = _ints(pairs & 0xFFFFFFFF)
+        at = at[new]
+        bucket = self._hashes(stream, at + length)
+        order = np.argsort(bucket, kind="stable")
+        self.bucket_start = _ints(_starts(bucket, 1 << bits))
+        self.group, self.at = _ints(order), _ints(at[order])
+
+    def _hashes(self, stream: np.ndarray, end: np.ndarray) -> np.ndarray:
+        last = stream[end - 1].astype(np.int64)
+        return (last if self.block == 1 else last * 0x9E3779B1 + stream[end - 2]) & self.mask
+
+    def search(self, stream: array, words: array, found) -> None:
+        """Calls found(first word, items by number) for each occurrence of a pattern in `words`, the numbers of a text's words."""
         end, n, length = self.length, len(words), self.length
-        far = length - self.block + 1
-        shift, buckets, one = self.shift.get, self.buckets, self.block == 1
+        shift, starts, ats, mask, one = self.shift, self.bucket_start, self.at, self.mask, self.block == 1
         while end <= n:
-            key = words[end - 1] if one else (words[end - 2], words[end - 1])
-            jump = shift(key, far)
-            if jump:
+            key = (words[end - 1] if one else words[end - 1] * 0x9E3779B1 + words[end - 2]) & mask
+            if jump := shift[key]:
                 end += jump
                 continue
-            start = end - length
-            for pattern, items in buckets[key]:
-                if all(map(bytes.__eq__, pattern, words[start:end])):
-                    found(start, items)
+            text = words[end - length : end]
+            for p in range(starts[key], starts[key + 1]):
+                if stream[ats[p] : ats[p] + length] == text:
+                    g = self.group[p]
+                    found(end - length, self.items[self.item_start[g] : self.item_start[g + 1]])
             end += 1
 
 
-def search_tables(items: list[tuple], window: int) -> list[WuManber]:
-    """Tables for (item id, text) rows, one for each length of pattern."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item, text in items:
-        words = tuple(words_of(text))
-        if not words or item is None:
-            continue
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1):
-            by_length.setdefault(size, {}).setdefault(words[i : i + size], set()).add(str(item))
-    return [WuManber(p, length) for length, p in sorted(by_length.items())]
-
-
-def hits_of(tables: list[WuManber], words: list[bytes]) -> tuple[list[int], set[str]]:
-    """Hit word runs as a flat list start, end, start, end ... and the items found."""
-    runs, items = [], set()
-    for t in tables:
-        def found(start, names, length=t.length):
-            runs.append((start, start + length))
-            items.update(names)
-
-        t.search(words, found)
-    flat: list[int] = []
-    for start, end in sorted(runs):
-        if flat and start <= flat[-1]:
-            flat[-1] = max(flat[-1], end)
-        else:
-            flat += [start, end]
-    return flat, items
+class Tables:
+    """The search tables of a block of (item id, text) rows: one for each length of pattern."""
+
+    def __init__(self, items: list[tuple], window: int):
+        self.number: dict[bytes, int] = {}
+        self.names: list[str] = []
+        stream, begins, sizes = array("i"), [], []
+        for item, text in items:
+            words = words_of(text)
+            if not words or item is None:
+                continue
+            begins.append(len(stream))
+            sizes.append(len(words))
+            self.names.append(str(item))
+            number = self.number
+            stream.extend([number.setdefault(w, len(number) + 1) for w in words])
+        self.stream = stream
+        flat, begins, sizes = np.array(stream, np.int32), np.array(begins, np.int64), np.array(sizes, np.int64)
+        self.by_length = []
+        for length in np.unique(np.minimum(sizes, window)).tolist():
+            mine = np.flatnonzero(np.minimum(sizes, window) == length)
+            count = sizes[mine] - length + 1
+            owner = np.repeat(mine, count)
+            at = np.repeat(begins[mine] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            self.by_length.append(WuManber(flat, at, owner, length))
+
+    def hits_of(self, words: list[bytes]) -> tuple[list[int], set[str]]:
+        """Hit word runs as a flat list start, end, start, end ... and the items found."""
+        number = self.number.get
+        text = array("i", [number(w, 0) for w in words])
+        runs, items = [], set()
+        for t in self.by_length:
+            def found(start, owners, length=t.length):
+                runs.append((start, start + length))
+                items.update(owners)
+
+            t.search(self.stream, text, found)
+        flat: list[int] = []
+        for start, end in sorted(runs):
+            if flat and start <= flat[-1]:
+                flat[-1] = max(flat[-1], end)
+            else:
+                flat += [start, end]
+        return flat, {self.names[i] for i in items}
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
@@ -135,7 +186,7 @@ def decontaminate(
     runs_cols, item_cols = [], []
     for k, block in enumerate(blocks):
         runs, items = fresh(base, f"wm_runs_{k}"), fresh(base, f"wm_items_{k}")
-        out = _search(out, spark.sparkContext.broadcast((block, window)), text_col, runs, items, fresh(base, "wm_words"), k == 0)
+        out = _search(checkpointed(out) if k else out, spark.sparkContext.broadcast((block, window)), text_col, runs, items, fresh(base, "wm_words"), k == 0)
         runs_cols.append(runs)
         item_cols.append(items)
     words, runs, items = fresh(base, "wm_words"), _merged(runs_cols), F.array_sort(F.array_distinct(F.flatten(F.array(*map(quoted, item_cols)))))
@@ -164,15 +215,19 @@ def _search(df: DataFrame, held, text_col: str, runs: str, items: str, words_col
     added = [T.StructField(words_col, T.LongType())] if first else []
     added += [T.StructField(runs, T.ArrayType(T.LongType())), T.StructField(items, T.ArrayType(T.StringType()))]
     at = df.columns.index(text_col)
+    token = uuid.uuid4().hex
 
     def run(batches):
-        block, window = held.value
-        tables = search_tables(block, window)
+        kept = worker_cache("wu_manber", dict)
+        if token not in kept:
+            kept.clear()  # one block at a time
+            kept[token] = Tables(*held.value)
+        tables = kept[token]
         for batch in batches:
             counts, all_runs, all_items = [], [], []
             for text in batch.column(at).to_pylist():
                 words = words_of(text)
-                flat, names = hits_of(tables, words)
+                flat, names = tables.hits_of(words)
                 counts.append(len(words))
                 all_runs.append(flat)
                 all_items.append(sorted(names))
