@@ -6,14 +6,19 @@ minimum-covariance-determinant estimate gives a centre and covariance that
 outliers cannot pull, and a document whose transformed statistics lie too far
 from the centre, by Mahalanobis distance, is rejected.
 
-The estimate takes concentration steps: from a start by median and median
-absolute deviation, each step keeps the `support` share of the group that is
-nearest to the present estimate and takes the mean and covariance of these.
+The estimate is the subset of the `support` share of a group whose covariance has
+the least determinant, as concentration steps find it: each step keeps the share
+that is nearest to the present estimate and takes the mean and covariance of
+these, which lowers the determinant or leaves it.  There are three starts (median
+and median absolute deviation; mean and covariance of all; median and the
+covariance of spatial signs).  Each goes on until its determinant falls no more,
+and the least of the three is the group's estimate.  A factor makes the covariance
+that of a normal sample, so that squared distances are chi-square with 4 degrees.
 
 Scale: texts are read once; what goes on is five numbers per document, written
 to the checkpoint folder.  A group's order statistics come from counts of
-narrow bins (values of the same bin are ties), so a step is two aggregations
-that sum map-side, and no group is gathered or sorted in one task, however hot.
+narrow bins (0.4 % of a distance; values of the same bin are ties), so a step of all
+starts and groups is two aggregations that sum map-side, and no group is gathered or sorted in one task, however hot.
 Estimates go back to their documents by a join that adaptive execution
 broadcasts where it is small and splits where a group is hot.
 
@@ -21,22 +26,24 @@ Defined cases: a null text has no words; null languages and sources are groups
 of their own; groups of fewer than `min_group` documents are judged together
 per language, languages that are still too small together; where even all of
 these are too few, base rules alone decide; equal vectors (a group of copies)
-have the variance floors, so that ties with the centre are at distance 0;
+have the variance floors, so that ties with the centre are at distance 0; starts of
+equal determinant give the one named first;
 repeated rows count each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, forget_partitioning, fresh, quoted
+from .common import checkpointed, forget_partitioning, fresh, quoted, written
 
 _WHITE = r"[\x20\x09-\x0D]+"
 DIMS = 4
-#: Standard deviations below which a dimension is not taken to vary: log words, log word length, share of symbols, share of repeats.
+#: Standard deviations that an estimate has at least, so that a group of like documents rejects no small difference: log words, log word length, share of symbols, share of repeats.
 FLOORS = (0.5, 0.2, 0.05, 0.1)
 
 
@@ -102,83 +109,132 @@ _X = [f"x{i}" for i in range(DIMS)]
 _PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 
-def _quantile_bins(rows: DataFrame, value: Column, share: float, per_unit: int) -> DataFrame:
-    """(grp, bin): by group the first bin of width 1 / per_unit up to which at least `share` of the values lie."""
+def consistency(support: float) -> float:
+    """What the covariance of the nearest `support` share of a normal sample of 4
+    dimensions is to be multiplied with: support / P(chi-square of 6 <= the quantile of chi-square of 4)."""
+    low, high = 0.0, 400.0  # half the quantile, by bisection of the closed form
+    for _ in range(200):
+        y = (low + high) / 2
+        low, high = (y, high) if 1 - math.exp(-y) * (1 + y) < support else (low, y)
+    return support / (1 - math.exp(-y) * (1 + y + y * y / 2))
+
+
+def _quantile_bins(rows: DataFrame, key: list[str], value: Column, share: float, per_unit: int) -> DataFrame:
+    """(key, bin): by group the first bin of width 1 / per_unit up to which at least `share` of the values lie."""
     from pyspark.sql import Window
 
-    counts = rows.groupBy("grp", F.floor(value * per_unit).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(*key, F.floor(value * per_unit).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # Bins are narrow but bounded in number; a group's documents are not.
-    run = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("grp")
-    counts = counts.select("grp", "bin", F.sum("n").over(run).alias("upto"), F.sum("n").over(whole).alias("all"))
-    return counts.where(F.col("upto") >= F.col("all") * share).groupBy("grp").agg(F.min("bin").alias("bin"))
+    run = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*key)
+    counts = counts.select(*key, "bin", F.sum("n").over(run).alias("upto"), F.sum("n").over(whole).alias("all"))
+    return counts.where(F.col("upto") >= F.col("all") * share).groupBy(*key).agg(F.min("bin").alias("bin"))
 
 
-def _with_model(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Rows with their group's columns; the key is disguised so that a hot group can be split."""
-    model = model.withColumn("k", forget_partitioning(F.xxhash64("grp"))).withColumnRenamed("grp", "mgrp")
-    keyed = rows.withColumn("k", forget_partitioning(F.xxhash64("grp")))
-    joined = keyed.join(model, (keyed["k"] == model["k"]) & (keyed["grp"] == model["mgrp"]))
-    return joined.drop(keyed["k"]).drop("k", "mgrp")
+def _with_model(rows: DataFrame, model: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with the columns of their group; the key is disguised so that a hot group can be split."""
+    hidden = [F.col(c).alias(f"of_{c}") for c in key]
+    model = model.select(forget_partitioning(F.xxhash64(*key)).alias("of"), *hidden, *[c for c in model.columns if c not in key])
+    on = [forget_partitioning(F.xxhash64(*key)) == F.col("of"), *[F.col(c) == F.col(f"of_{c}") for c in key]]
+    return rows.join(model, reduce(lambda a, b: a & b, on)).drop("of", *[f"of_{c}" for c in key])
 
 
-def _with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Rows with d2, the squared Mahalanobis distance, by forward substitution with the Cholesky factor l_ij."""
-    out = _with_model(rows, model)
+def _with_distance(rows: DataFrame) -> DataFrame:
+    """Rows, with their model, and d2, the squared Mahalanobis distance, by forward substitution with the Cholesky factor l_ij."""
+    out = rows
     for i in range(DIMS):
         v = F.col(_X[i]) - F.col(f"m{i}")
         for j in range(i):
             v = v - F.col(f"l{i}{j}") * F.col(f"z{j}")
         out = out.withColumn(f"z{i}", v / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMS)]))
+    d2 = reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIMS)])
+    return out.withColumn("d2", d2).drop(*[f"z{i}" for i in range(DIMS)])
+
+
+_MODEL = [*(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i, j in _PAIRS)]
 
 
 def _factor(moments: DataFrame) -> DataFrame:
-    """Model rows (grp, m_i, l_ij) from (grp, m_i, c_ij): the Cholesky factor, variances not below the floors."""
+    """Model rows (grp, start, logdet, m_i, l_ij) from (grp, start, m_i, c_ij): the
+    Cholesky factor of the covariance, its variances raised to the floors."""
     out = moments
     for i in range(DIMS):
         for j in range(i + 1):
-            v = F.col(f"c{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
+            v = F.greatest(F.col(f"c{i}{j}"), F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"c{i}{j}")
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l{j}{j}"))
     # Rounding takes away what the order of summation adds, so that runs agree.
-    keep = [F.round(F.col(c), 9).alias(c) for c in [*(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i, j in _PAIRS)]]
-    return out.select("grp", *keep)
+    keep = [F.round(F.col(c), 9).alias(c) for c in _MODEL]
+    logdet = reduce(lambda a, b: a + b, [2 * F.log(f"l{i}{i}") for i in range(DIMS)])
+    return out.select("grp", "start", F.round(logdet, 9).alias("logdet"), *keep)
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Median and scaled median absolute deviation by group and dimension."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """Models of starts 0 (median and scaled median absolute deviation), 1 (mean and
+    covariance) and 2 (median and the covariance of spatial signs) by group."""
     parts = []
     for i in range(DIMS):
-        median = _quantile_bins(rows, F.col(_X[i]), 0.5, 200).select("grp", ((F.col("bin") + 0.5) / 200).alias("med"))
-        off = _with_model(rows.select("grp", _X[i]), median)
-        mad = _quantile_bins(off, F.abs(F.col(_X[i]) - F.col("med")), 0.5, 200).select("grp", (1.4826 * (F.col("bin") + 0.5) / 200).alias(f"s{i}"))
+        median = _quantile_bins(rows, ["grp"], F.col(_X[i]), 0.5, 200).select("grp", ((F.col("bin") + 0.5) / 200).alias("med"))
+        off = _with_model(rows.select("grp", _X[i]), median, ["grp"])
+        mad = _quantile_bins(off, ["grp"], F.abs(F.col(_X[i]) - F.col("med")), 0.5, 200).select("grp", (1.4826 * (F.col("bin") + 0.5) / 200).alias(f"s{i}"))
         parts.append(median.join(mad, "grp").select("grp", F.col("med").alias(f"m{i}"), f"s{i}"))
     both = reduce(lambda a, b: a.join(b, "grp"), parts)
     spread = {f"c{i}{j}": F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0) for i, j in _PAIRS}
-    return _factor(both.withColumns(spread))
-
+    first = written(_factor(both.withColumn("start", F.lit(0)).withColumns(spread)))
 
-def _step(rows: DataFrame, model: DataFrame, support: float) -> DataFrame:
-    """One concentration step."""
-    near = _with_distance(rows, model)
-    # Bins of log distance: 64 to a unit, so that a bin spans 1.6 % of the distance.
+    near = _with_model(rows, first.drop("start"), ["grp"])
+    u = [F.col(_X[i]) - F.col(f"m{i}") for i in range(DIMS)]
+    z = [u[i] / F.col(f"l{i}{i}") for i in range(DIMS)]
+    size = F.greatest(reduce(lambda a, b: a + b, [x * x for x in z]), F.lit(1e-12))
+    sums = near.groupBy("grp").agg(
+        *[F.avg(u[i]).alias(f"a{i}") for i in range(DIMS)], *[F.first(c).alias(c) for c in _MODEL],
+        *[F.avg(u[i] * u[j]).alias(f"q{i}{j}") for i, j in _PAIRS], *[F.avg(z[i] * z[j] / size).alias(f"s{i}{j}") for i, j in _PAIRS],
+    )
+    mean = sums.select("grp", F.lit(1).alias("start"), *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(DIMS)],
+                       *[(F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")).alias(f"c{i}{j}") for i, j in _PAIRS])
+    signs = sums.select("grp", F.lit(2).alias("start"), *[f"m{i}" for i in range(DIMS)],
+                        *[(DIMS * F.col(f"s{i}{j}") * F.col(f"l{i}{i}") * F.col(f"l{j}{j}")).alias(f"c{i}{j}") for i, j in _PAIRS])
+    return first.unionByName(_factor(mean)).unionByName(_factor(signs))
+
+
+def _step(rows: DataFrame, model: DataFrame, support: float, factor: float) -> DataFrame:
+    """One concentration step of each start and group."""
+    key = ["grp", "start"]
+    near = _with_distance(_with_model(rows, model.drop("logdet"), ["grp"]))
+    # Bins of log distance: 256 to a unit, so that a bin spans 0.4 % of the distance.
     log_d = F.log(F.col("d2") + 1e-6)
-    edge = _quantile_bins(near, log_d, support, 64)
-    kept = _with_model(near, edge).where(F.floor(log_d * 64).cast("long") <= F.col("bin"))
+    edge = _quantile_bins(near, key, log_d, support, 256)
+    kept = _with_model(near, edge, key).where(F.floor(log_d * 256).cast("long") <= F.col("bin"))
     # Moments about the present centre, which keeps the digits that a difference of large sums would lose.
     u = [F.col(_X[i]) - F.col(f"m{i}") for i in range(DIMS)]
-    sums = kept.groupBy("grp").agg(
+    sums = kept.groupBy(*key).agg(
         *[F.avg(u[i]).alias(f"a{i}") for i in range(DIMS)], *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)],
         *[F.avg(u[i] * u[j]).alias(f"q{i}{j}") for i, j in _PAIRS],
     )
-    # Covariance of the nearest share of a normal sample is too small by a constant, for 3/4 of 4 dimensions about 1.6.
-    scale = 1.6
-    cov = {f"c{i}{j}": scale * (F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) for i, j in _PAIRS}
+    cov = {f"c{i}{j}": factor * (F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) for i, j in _PAIRS}
     return _factor(sums.withColumns(cov | {f"m{i}": F.col(f"m{i}") + F.col(f"a{i}") for i in range(DIMS)}))
 
 
+def estimate(rows: DataFrame, support: float = 0.75, tolerance: float = 1e-3, steps: int = 100) -> DataFrame:
+    """The minimum-covariance-determinant estimate (grp, logdet, m_i, l_ij) of each
+    group of `rows` (grp, x_i).  A start is done when a step does not lower its log
+    determinant by `tolerance`; `steps` only guards against endless loops and is not reached."""
+    factor = consistency(support)
+    going = written(_step(rows, written(_starts(rows)), support, factor))
+    done = []
+    for _ in range(steps):
+        before = going.select(F.col("grp").alias("g"), F.col("start").alias("s"), F.col("logdet").alias("was"))
+        now = _step(rows, going, support, factor).join(before, (F.col("grp") == F.col("g")) & (F.col("start") == F.col("s"))).drop("g", "s")
+        now = written(now)
+        done.append(going.join(now.where(F.col("logdet") > F.col("was") - tolerance).select("grp", "start"), ["grp", "start"], "left_semi"))
+        going = now.where(F.col("logdet") <= F.col("was") - tolerance).drop("was")
+        if going.isEmpty():
+            break
+    best = reduce(DataFrame.unionByName, [*done, going]).groupBy("grp").agg(F.min(F.struct("logdet", "start", *_MODEL)).alias("x"))
+    return best.select("grp", "x.logdet", *[F.col(f"x.{c}").alias(c) for c in _MODEL])
+
+
 def _groups(rows: DataFrame, min_group: int) -> DataFrame:
     """(lang, source, grp) for groups that can be judged: a group of its own, its language's rest, or the rest of all."""
     name = lambda *c: F.concat_ws("\x1f", *[F.coalesce(x, F.lit("\x00")) for x in c])
@@ -197,12 +253,12 @@ def _groups(rows: DataFrame, min_group: int) -> DataFrame:
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    min_words: int = 50, max_repeat_percent: int = 50, support: float = 0.75, steps: int = 3, min_group: int = 40, cutoff: float = 36.0,
+    min_words: int = 50, max_repeat_percent: int = 50, support: float = 0.75, min_group: int = 40, cutoff: float = 36.0,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), base_failed (boolean), distance2 (double, null where
     no estimate applies) and kept (boolean).  A squared distance over `cutoff`
-    rejects; 36 is beyond all but 3 in ten million of a normal sample's."""
+    rejects; 36 is the point of chi-square with 4 degrees beyond which 3 in ten million lie."""
     base = docs.select(
         quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"),
         quoted(lang_col).cast("string").alias("g_lang"), quoted(source_col).cast("string").alias("g_source"),
@@ -216,12 +272,10 @@ def quality_rules(
     groups = checkpointed(_groups(passed, min_group))
     joined = _join_groups(passed, groups)
     rows = joined.where(F.col("grp").isNotNull()).select("grp", *_X)
-    model = checkpointed(_start(rows))
-    for _ in range(steps):
-        model = checkpointed(_step(rows, model, support))
+    model = written(estimate(rows, support)).drop("logdet")
 
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    judged = _with_distance(joined.where(F.col("grp").isNotNull()), model)
+    judged = _with_distance(_with_model(joined.where(F.col("grp").isNotNull()), model, ["grp"]))
     judged = judged.select("doc_id", *stats, "base_failed", F.col("d2").alias("distance2"), (F.col("d2") <= cutoff).alias("kept"))
     others = joined.where(F.col("grp").isNull()).select("doc_id", *stats, "base_failed", F.lit(None).cast("double").alias("distance2"), F.lit(True).alias("kept"))
     dropped = counted.where("base_failed").select("doc_id", *stats, "base_failed", F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept"))
