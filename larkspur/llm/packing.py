@@ -16,12 +16,15 @@ in constant time per cut point.  Power-of-two lengths are one look-up each.
 
 Scale: no shuffle.  Each input partition is one stream in its own order; a
 document lies wholly in one partition.  Ids are held for `block_ids` ids at a
-time: when a block is full the chosen windows are written, but for the last
-ones, whose cuts later text may still change.  Partition number and window
-number make sequence_id, so a task that runs again writes the same rows.
+time.  When a block is full, whatever follows it goes on from a cut within its last
+window, so the cuts that the best ways to all of those have in common are settled and
+written; the others wait, and where none is settled yet, a block is twice as long.  The
+windows are thus those of one programme over the whole partition.  Partition number and
+window number make sequence_id, so a task that runs again writes the same rows.
 
 Defined cases: a null or empty text is its end id alone; equal rows are
-documents of their own; documents of any length are cut as needed; an empty
+documents of their own; of windows that cost the same, the earliest start wins, and a
+padded one over a power of two; documents of any length are cut as needed; an empty
 table gives no rows; columns of `docs` other than id and text are not read.
 """
 
@@ -41,10 +44,10 @@ from .tokens import Encoder, default_vocabulary
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def best_cuts(points: list[int], costs: list[float], window: int) -> list[int]:
-    """Indices into `points` (ascending positions, the first is where the
-    sequence begins) of the cuts that minimise padding plus cost of cuts; the
-    last point is always a cut.  Neighbouring points are at most `window` apart."""
+def _ways(points: list[int], costs: list[float], window: int) -> list[int]:
+    """For each of `points` (ascending positions, the first is where the sequence
+    begins) the cut before it on the way of least padding plus cost of cuts.
+    Neighbouring points are at most `window` apart."""
     n = len(points)
     best = [0.0] * n
     back = [0] * n
@@ -69,13 +72,40 @@ def best_cuts(points: list[int], costs: list[float], window: int) -> list[int]:
         while queue and value[queue[-1]] >= v:
             queue.pop()
         queue.append(j)
-    cuts, j = [], n - 1
+    return back
+
+
+def _way_to(back: list[int], j: int) -> list[int]:
+    cuts = []
     while j:
         cuts.append(j)
         j = back[j]
     return cuts[::-1]
 
 
+def best_cuts(points: list[int], costs: list[float], window: int) -> list[int]:
+    """Indices into `points` of the cuts that minimise padding plus cost of cuts; the last point is always a cut."""
+    return _way_to(_ways(points, costs, window), len(points) - 1)
+
+
+def settled_cuts(points: list[int], costs: list[float], window: int) -> list[int]:
+    """The cuts that are the best ones whatever points follow: those on the ways to
+    all points of the last window, from one of which every longer way goes on."""
+    back, n = _ways(points, costs, window), len(points)
+    ends = [p > points[-1] - window for p in points]
+    left = sum(ends)
+    for j in range(n - 1, 0, -1):
+        if left == 1:
+            break
+        if ends[j]:
+            ends[j] = False
+            left -= ends[back[j]]
+            ends[back[j]] = True
+    return _way_to(back, ends.index(True))
+
+
+
+
 def _sentence_ends(vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """By id: does its text end a sentence; does its text begin with white space or stand for a new line."""
     from tokenizers import Tokenizer
@@ -122,9 +152,7 @@ class _Stream:
         out: list[list] = [[] for _ in range(7)]
         if len(self.points) < 2:
             return out
-        cuts = best_cuts(self.points, self.costs, self.window)
-        if not final:
-            cuts = cuts[: max(0, len(cuts) - 8)]
+        cuts = (best_cuts if final else settled_cuts)(self.points, self.costs, self.window)
         begin = self.points[0]
         for c in cuts:
             stop, at = self.points[c], begin
@@ -162,7 +190,7 @@ def pack(
         types = [pa.int64()] * 7
         names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
         give = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
-        held = 0
+        held, full = 0, block_ids
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(encoder.encode_one(text), np.uint32(end_id)).astype("<u4")
@@ -171,9 +199,10 @@ def pack(
                 end[-1] = True
                 stream.add(doc_id, ids, end)
                 held += len(ids)
-                if held >= block_ids:
+                if held >= full:
                     out = stream.pieces(False)
                     held = stream.end - stream.points[0]
+                    full = max(block_ids, 2 * held)
                     if out[0]:
                         yield give(out)
         out = stream.pieces(True)

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from larkspur.llm.packing import best_cuts, pack, padding_of
+from larkspur.llm.packing import best_cuts, pack, padding_of, settled_cuts
 from larkspur.llm.tokens import Encoder, default_vocabulary
 
 from .conftest import words
@@ -33,6 +33,22 @@ def test_best_cuts():
         assert at == 30 and total == pytest.approx(cheapest(points, costs, 16))
 
 
+def test_settled_cuts_stay():
+    """Whatever follows, the settled cuts begin the best way; and they come to something."""
+    settled = 0
+    for seed in range(300):
+        r = random.Random(seed)
+        points, costs = [0], [0.0]
+        for _ in range(60):
+            points.append(points[-1] + r.randint(1, 9))
+            costs.append(r.choice([0, 1, 5]))
+        m = r.randint(2, 50)
+        first = settled_cuts(points[:m], costs[:m], 16)
+        settled += len(first)
+        assert best_cuts(points, costs, 16)[: len(first)] == first
+    assert settled > 500
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
