@@ -153,10 +153,21 @@ class Model:
 
 
 def word_scores(model: Model, words: Words) -> np.ndarray:
-    """(word, language): log likelihood of the word, barred where the script rules the language out."""
-    if not len(words.begin):
-        return np.empty((0, len(model.langs)), np.float32)
-    return np.add.reduceat(model.score[words.bucket], words.begin, axis=0) + model.barred[words.script]
+    """(word, language): log likelihood of the word.  Only the languages that the word's
+    script leaves are scored; the others are barred."""
+    n, n_langs = len(words.begin), len(model.langs)
+    if not n:
+        return np.empty((0, n_langs), np.float32)
+    out = np.full((n, n_langs), -1e6, np.float32)
+    for script in np.unique(words.script).tolist():
+        mine, left = words.script == script, np.flatnonzero(model.barred[script] == 0)
+        bucket, begin = words.bucket, words.begin
+        if not mine.all():
+            length = words.length[mine]
+            bucket, begin = bucket[np.repeat(mine, words.length)], np.concatenate([[0], np.cumsum(length)[:-1]])
+        score = model.score if len(left) == n_langs else model.score[:, left]
+        out[np.ix_(mine, left)] = np.add.reduceat(score[bucket], begin, axis=0)
+    return out
 
 
 def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, switch: float) -> np.ndarray:
