@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import sys
@@ -10,6 +12,7 @@ import types
 import uuid
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,8 +75,21 @@ def removed(df: DataFrame) -> None:
 
 
 def worker_cache(name: str, make):
-    """What `make` gives, kept for the life of a Python worker."""
+    """What `make` gives, kept in a Python worker for the tasks of a stage.
+
+    Workers outlive stages; what other stages kept is dropped first, and its memory
+    goes back to the system, so that a pipeline's operators do not add up."""
     held = sys.modules.setdefault("_larkspur_worker_cache", types.ModuleType("_larkspur_worker_cache"))
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if getattr(held, "of_stage", stage) != stage:
+        for other in [x for x in vars(held) if not x.startswith("__")]:
+            delattr(held, other)
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc alone has it
+            trim(0)
+    held.of_stage = stage
     if not hasattr(held, name):
         setattr(held, name, make())
     return getattr(held, name)

@@ -375,7 +375,7 @@ def alike(n: np.ndarray, comp: np.ndarray, guest: np.ndarray, dense: list[bytes]
         y = np.flatnonzero((width == w) | (width == 2 * w))
         y = y[np.argsort(width[y], kind="stable")]  # those as wide come first, in the order of x
         bits = np.stack([_fold(np.frombuffer(dense[i], np.uint8), w) for i in y.tolist()]).view(np.uint64)
-        step = max(1, (1 << 21) // bits.size)
+        step = max(1, (1 << 19) // bits.size)
         for i in range(0, len(x), step):
             u = x[i : i + step]
             both = n[u, None] + n[y]

@@ -116,10 +116,11 @@ def test_sketches_bound_the_difference():
                 assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components(spark, one_task):
     r = random.Random(7)
     edges = [(r.randint(0, 120), r.randint(0, 120)) for _ in range(90)] + [(i, i + 1) for i in range(500, 560)] + [(900, i) for i in range(901, 960)]
-    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
     up = {v: v for e in edges for v in e}
 
     def root(x):
@@ -130,7 +131,7 @@ def test_components(spark):
     for a, b in edges:
         up[max(root(a), root(b))] = min(root(a), root(b))
     assert all(got.get(v, v) == root(v) for v in up)
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
 
 
 def test_many_near_copies(documents):
