@@ -9,7 +9,8 @@ again as the next one's input.
 5. pack cuts what is left into token sequences.
 
 Documents without id pass stages 2 and 3 unchanged, and rows that repeat an id
-are one document to them.  Other columns pass through to stage 4.
+are one document to them: stage 3 keeps the one of the least text, then of the least
+other columns.  Other columns pass through to stage 4.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import quoted, shared_folder, table
+from larkspur.llm.common import quoted, removed, shared_folder, table
 from larkspur.llm.decontamination import decontaminate
 from larkspur.llm.jaccard_join import jaccard_classes
 from larkspur.llm.language_id import fit, held_out, predict
@@ -44,9 +45,14 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = jaccard_classes(docs)
-    stay = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["stay_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    stay = classes.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("stay_id")).agg(F.count(F.lit(1)).alias("stay_rows"))
+    mine = docs["doc_id"] == F.col("stay_id")
+    once = docs.join(stay.where("stay_rows = 1"), mine, "left_semi")
+    # Of the rows of one id the least by text, then by the other columns that can be compared.
+    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]
+    several = docs.join(stay.where("stay_rows > 1").select("stay_id"), mine).drop("stay_id")
+    least = several.groupBy("doc_id").agg(F.min_by(F.struct(*map(quoted, docs.columns)), F.struct("text", *map(quoted, rest))).alias("row"))
+    return once.unionByName(least.select("row.*")).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,11 +77,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what lies between is in the shared folder."""
+    """The rows of the last stage; what lies between is in the shared folder until the stage after it is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            removed(docs)
         docs = spark.read.parquet(path)
     return docs

@@ -81,3 +81,16 @@ def test_run_gives_the_last_stage(spark, folder):
 
 def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Stage 3 keeps, of the rows of one id, the least by text and other columns, however they are dealt; rows without id stay."""
+    r = random.Random(2)
+    a, b = (" ".join(words(r, 30)) for _ in range(2))
+    rows = [(1, b, "en", "s", 1), (1, a, "fr", "s", 1), (1, a, "en", "t", 1), (1, a, "en", "t", 1), (2, a, "en", "s", 1), (3, "x y", "en", "s", 1), (None, a, "en", "s", 1), (None, None, None, None, None)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        out = corpus_pipeline.without_near_copies(spark, docs, "")
+        first = min(((1, a, "en", "t", 1), (1, b, "en", "s", 1)), key=lambda x: x[1])
+        assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [first, (3, "x y", "en", "s", 1), (None, a, "en", "s", 1), (None, None, None, None, None)]))
