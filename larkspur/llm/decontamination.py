@@ -64,7 +64,7 @@ class WuManber:
     def __init__(self, stream: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int):
         """Patterns begin at `at` and belong to the items `owner`, by number."""
         self.length, self.block = length, min(2, length)
-        bits = max(10, min(22, len(at).bit_length()))
+        bits = max(16, min(22, len(at).bit_length() + 1))
         self.mask = (1 << bits) - 1
         far = length - self.block
         shift = np.full(1 << bits, far + 1, np.int32)
@@ -95,16 +95,18 @@ class WuManber:
         last = stream[end - 1].astype(np.int64)
         return (last if self.block == 1 else last * 0x9E3779B1 + stream[end - 2]) & self.mask
 
-    def search(self, stream: array, words: array, found) -> None:
-        """Calls found(first word, items by number) for each occurrence of a pattern in `words`, the numbers of a text's words."""
+    def search(self, stream: array, words: list[bytes], number, found) -> None:
+        """Calls found(first word, items by number) for each occurrence of a pattern in
+        `words`.  number(word, 0) is asked for the words that the search looks at, no others."""
         end, n, length = self.length, len(words), self.length
         shift, starts, ats, mask, one = self.shift, self.bucket_start, self.at, self.mask, self.block == 1
         while end <= n:
-            key = (words[end - 1] if one else words[end - 1] * 0x9E3779B1 + words[end - 2]) & mask
+            last = number(words[end - 1], 0)
+            key = (last if one else last * 0x9E3779B1 + number(words[end - 2], 0)) & mask
             if jump := shift[key]:
                 end += jump
                 continue
-            text = words[end - length : end]
+            text = array("i", [number(w, 0) for w in words[end - length : end]])
             for p in range(starts[key], starts[key + 1]):
                 if stream[ats[p] : ats[p] + length] == text:
                     g = self.group[p]
@@ -140,15 +142,13 @@ class Tables:
 
     def hits_of(self, words: list[bytes]) -> tuple[list[int], set[str]]:
         """Hit word runs as a flat list start, end, start, end ... and the items found."""
-        number = self.number.get
-        text = array("i", [number(w, 0) for w in words])
         runs, items = [], set()
         for t in self.by_length:
             def found(start, owners, length=t.length):
                 runs.append((start, start + length))
                 items.update(owners)
 
-            t.search(self.stream, text, found)
+            t.search(self.stream, words, self.number.get, found)
         flat: list[int] = []
         for start, end in sorted(runs):
             if flat and start <= flat[-1]:
