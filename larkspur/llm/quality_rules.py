@@ -27,8 +27,8 @@ of their own; groups of fewer than `min_group` documents are judged together
 per language, languages that are still too small together; where even all of
 these are too few, base rules alone decide; equal vectors (a group of copies)
 have the variance floors, so that ties with the centre are at distance 0; starts of
-equal determinant give the one named first;
-repeated rows count each; an empty table gives an empty result.
+equal determinant give the one named first; a text of any length is measured whole, as one
+row's array of words; repeated rows count each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, forget_partitioning, fresh, quoted, written
+from .common import checkpointed, forget_partitioning, fresh, quoted, removed, written
 
 _WHITE = r"[\x20\x09-\x0D]+"
 DIMS = 4
@@ -173,13 +173,12 @@ def _factor(moments: DataFrame) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """Models of starts 0 (median and scaled median absolute deviation), 1 (mean and
     covariance) and 2 (median and the covariance of spatial signs) by group."""
-    parts = []
-    for i in range(DIMS):
-        median = _quantile_bins(rows, ["grp"], F.col(_X[i]), 0.5, 200).select("grp", ((F.col("bin") + 0.5) / 200).alias("med"))
-        off = _with_model(rows.select("grp", _X[i]), median, ["grp"])
-        mad = _quantile_bins(off, ["grp"], F.abs(F.col(_X[i]) - F.col("med")), 0.5, 200).select("grp", (1.4826 * (F.col("bin") + 0.5) / 200).alias(f"s{i}"))
-        parts.append(median.join(mad, "grp").select("grp", F.col("med").alias(f"m{i}"), f"s{i}"))
-    both = reduce(lambda a, b: a.join(b, "grp"), parts)
+    each = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(x).alias("v")) for i, x in enumerate(_X)])).alias("x")).select("grp", "x.dim", "x.v")
+    key, middle = ["grp", "dim"], (F.col("bin") + 0.5) / 200
+    median = written(_quantile_bins(each, key, F.col("v"), 0.5, 200).select(*key, middle.alias("med")))
+    off = _quantile_bins(_with_model(each, median, key), key, F.abs(F.col("v") - F.col("med")), 0.5, 200).select(*key, (1.4826 * middle).alias("mad"))
+    of = lambda i, c: F.max(F.when(F.col("dim") == i, F.col(c)))
+    both = median.join(off, key).groupBy("grp").agg(*[of(i, "med").alias(f"m{i}") for i in range(DIMS)], *[of(i, "mad").alias(f"s{i}") for i in range(DIMS)])
     spread = {f"c{i}{j}": F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0) for i, j in _PAIRS}
     first = written(_factor(both.withColumn("start", F.lit(0)).withColumns(spread)))
 
@@ -221,17 +220,18 @@ def estimate(rows: DataFrame, support: float = 0.75, tolerance: float = 1e-3, st
     group of `rows` (grp, x_i).  A start is done when a step does not lower its log
     determinant by `tolerance`; `steps` only guards against endless loops and is not reached."""
     factor = consistency(support)
-    going = written(_step(rows, written(_starts(rows)), support, factor))
-    done = []
+    state = written(_step(rows, written(_starts(rows)), support, factor).withColumn("live", F.lit(True)))
     for _ in range(steps):
-        before = going.select(F.col("grp").alias("g"), F.col("start").alias("s"), F.col("logdet").alias("was"))
-        now = _step(rows, going, support, factor).join(before, (F.col("grp") == F.col("g")) & (F.col("start") == F.col("s"))).drop("g", "s")
-        now = written(now)
-        done.append(going.join(now.where(F.col("logdet") > F.col("was") - tolerance).select("grp", "start"), ["grp", "start"], "left_semi"))
-        going = now.where(F.col("logdet") <= F.col("was") - tolerance).drop("was")
-        if going.isEmpty():
+        now = _step(rows, state.where("live").drop("live"), support, factor)
+        now = now.select(F.col("grp").alias("g"), F.col("start").alias("s"), *[F.col(c).alias(f"n_{c}") for c in ("logdet", *_MODEL)])
+        better = F.coalesce(F.col("n_logdet") <= F.col("logdet") - tolerance, F.lit(False))
+        columns = [F.when(better, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ("logdet", *_MODEL)]
+        before = state
+        state = written(state.join(now, (F.col("grp") == F.col("g")) & (F.col("start") == F.col("s")), "left").select("grp", "start", *columns, better.alias("live")))
+        removed(before)
+        if state.where("live").isEmpty():
             break
-    best = reduce(DataFrame.unionByName, [*done, going]).groupBy("grp").agg(F.min(F.struct("logdet", "start", *_MODEL)).alias("x"))
+    best = state.groupBy("grp").agg(F.min(F.struct("logdet", "start", *_MODEL)).alias("x"))
     return best.select("grp", "x.logdet", *[F.col(f"x.{c}").alias(c) for c in _MODEL])
 
 
