@@ -13,7 +13,8 @@ hash is hot.  Only (document, positions) travels back to the texts.
 Defined cases: a null or empty text is one empty line; a document without id
 takes no part and keeps all its lines; rows that repeat a doc_id count as one
 document, and each row is rewritten by itself; ties cannot occur, for the
-largest id is one; other columns pass through, whatever they are called.
+largest id is one; a text of any length is split and put together whole, as one row's
+array of lines; other columns pass through, whatever they are called.
 """
 
 from __future__ import annotations

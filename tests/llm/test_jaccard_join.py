@@ -154,3 +154,15 @@ def test_too_few_segments_are_filled_up():
     assert np.bincount(owner, minlength=3).tolist() == [5, 5, 0]
     a, b = (set(key[owner == i].tolist()) for i in range(2))
     assert len(a) == len(b) == 5 and len(a & b) >= 3
+
+
+def test_texts_beyond_a_chunk(documents):
+    """Texts longer than what is worked on at once are whole sets, and link."""
+    from larkspur.llm.jaccard_join import CHUNK_BYTES
+
+    r = random.Random(11)
+    long = words(r, CHUNK_BYTES // 5 + 1000)
+    assert len(" ".join(long)) > CHUNK_BYTES
+    rows = [(1, " ".join(long)), (2, " ".join(edited(r, long, 2000))), (3, " ".join(long[: len(long) // 2])), (4, "short text of a few words here")]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_classes(documents(rows)).collect()}
+    assert got[1] == (len(shingles(rows[0][1])), 1) and got[2][1] == 1 and got[3][1] == 3 and got[4][1] == 4
