@@ -10,6 +10,7 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import TaskContext
@@ -48,12 +49,27 @@ def shared_folder(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "larkspur-shared")
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """What is run within leaves no shuffle files behind.  They would stay until the driver's
+    garbage is collected, which may be long after the next stages have filled the disks;
+    once a result is in the shared folder, nothing reads them any more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder."""
+    """Cuts the lineage in the shared folder, and removes the shuffle files behind it."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    with _shuffles_removed(df.sparkSession):
+        return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -62,7 +78,8 @@ def written(df: DataFrame) -> DataFrame:
     estimated from sizes multiply until the planner itself runs out of memory."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -167,6 +184,46 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random 64-bit value by byte; which of the bytes are the six white ones."""
+    white = np.zeros(256, bool)
+    white[[9, 10, 11, 12, 13, 32]] = True
+    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), white
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of all words of a run of texts, A-Z lower-cased, in order; bytes are worked on as arrays."""
+    value, white = worker_cache("byte_tables", _byte_tables)
+    raw = np.frombuffer(b"\n".join([b"", *texts, b""]).lower(), np.uint8)
+    space = white[raw]
+    first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    last = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.empty(0, np.int64)
+    of = np.searchsorted(ends, first, "left").astype(np.int64)
+    if not len(first):
+        return np.empty(0, np.uint64), of
+    # A word's hash is a sum over its bytes, each weighted by its place.
+    size = last - first
+    at = np.flatnonzero(~space)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    place = np.arange(len(at)) - np.repeat(begin, size)
+    weight = np.cumprod(np.full(int(size.max()), 0xD1342543DE82EF95, np.uint64))
+    return mix64(np.add.reduceat(value[raw[at]] * weight[place], begin) + size.astype(np.uint64)), of
+
+
+def text_chunks(texts: list[str | None], most: int):
+    """Runs (first, texts as bytes) of some `most` bytes; nulls are empty."""
+    held, first, size = [], 0, 0
+    for i, t in enumerate(texts):
+        held.append(t.encode("utf-8", "surrogatepass") if t else b"")
+        size += len(held[-1])
+        if size >= most:
+            yield first, held
+            held, first, size = [], i + 1, 0
+    if held:
+        yield first, held
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of k words; one hash of the whole where there are fewer, none where there are none."""
     n = len(words)

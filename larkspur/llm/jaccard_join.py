@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, forget_partitioning, mix64, quoted, worker_cache
+from .common import checkpointed, forget_partitioning, hashed_words, mix64, quoted, text_chunks, worker_cache
 from .components import components
 
 #: Sets of fewer shingles are the lowest band; from there on sizes from m to 2 m - 1 are one.
@@ -64,36 +64,15 @@ LOWEST = 64
 CHUNK_BYTES = 1 << 21
 
 
-def _hash_tables() -> tuple[np.ndarray, np.ndarray]:
-    """A random 64-bit value by byte, 0 for the six white bytes; which bytes are white."""
-    value = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    white = np.zeros(256, bool)
-    white[[9, 10, 11, 12, 13, 32]] = True
-    return value, white
-
-
 class Sets:
     """Shingle sets of a run of texts: token[i] belongs to text doc[i]; by text sorted and distinct."""
 
     def __init__(self, texts: list[bytes], k: int):
-        value, white = worker_cache("jaccard_tables", _hash_tables)
-        raw = np.frombuffer(b"\n".join([b"", *texts, b""]).lower(), np.uint8)
-        space = white[raw]
-        first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        last = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        word, of = hashed_words(texts)
         self.n_texts = len(texts)
-        ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.empty(0, np.int64)
-        of = np.searchsorted(ends, first, "left").astype(np.int64)
-        if not len(first):
+        if not len(word):
             self.token, self.doc = np.empty(0, np.uint64), np.empty(0, np.int64)
         else:
-            # A word's hash is a sum over its bytes, each weighted by its place.
-            size = last - first
-            at = np.flatnonzero(~space)
-            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-            place = np.arange(len(at)) - np.repeat(begin, size)
-            weight = np.cumprod(np.full(int(size.max()), 0xD1342543DE82EF95, np.uint64))
-            word = mix64(np.add.reduceat(value[raw[at]] * weight[place], begin) + size.astype(np.uint64))
             odd = mix64(np.arange(77, 77 + k, dtype=np.uint64)) | np.uint64(1)
             n = len(word)
             token, doc = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -146,16 +125,7 @@ class Sets:
 
 
 def _chunks(texts: list[str | None]):
-    """(first, texts as bytes) of some CHUNK_BYTES; nulls are empty."""
-    held, first, size = [], 0, 0
-    for i, t in enumerate(texts):
-        held.append(t.encode("utf-8", "surrogatepass") if t else b"")
-        size += len(held[-1])
-        if size >= CHUNK_BYTES:
-            yield first, held
-            held, first, size = [], i + 1, 0
-    if held:
-        yield first, held
+    return text_chunks(texts, CHUNK_BYTES)
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
