@@ -343,15 +343,36 @@ def stop_tracking(engine, args):
 
 
 def input_bytes(df: DataFrame) -> dict[str, int]:
-    """Bytes of each file that a query's scans may read, by path; nothing is run."""
+    """Bytes that a query's scans may read of each file, by path; nothing is run.  Of a Parquet
+    file these are the column chunks of the columns that the scan asks for, as the file's
+    footer tells; row groups that statistics let the scan skip count as well.  Of other files it is their length."""
     spark, out = df.sparkSession, {}
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    for path in df.inputFiles():
-        file = spark._jvm.org.apache.hadoop.fs.Path(path)
-        out[path] = int(file.getFileSystem(conf).getFileStatus(file).getLen())
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    todo = [df._jdf.queryExecution().sparkPlan()]
+    while todo:
+        node = todo.pop()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if node.getClass().getSimpleName() != "FileSourceScanExec":
+            continue
+        columns = {c.lower() for c in node.requiredSchema().fieldNames()}
+        parquet = "parquet" in str(node.relation().fileFormat()).lower()
+        for path in node.relation().location().inputFiles():
+            file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+            size = _chunk_bytes(jvm, file, conf, columns) if parquet else int(file.getFileSystem(conf).getFileStatus(file).getLen())
+            out[path] = out.get(path, 0) + size
     return out
 
 
+def _chunk_bytes(jvm, file, conf, columns: set[str]) -> int:
+    """Bytes of the column chunks of some columns in a Parquet file."""
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(file, conf))
+    try:
+        return sum(int(c.getTotalSize()) for block in reader.getFooter().getBlocks() for c in block.getColumns() if c.getPath().toArray()[0].lower() in columns)
+    finally:
+        reader.close()
+
+
 @controlling("GetTotalOverhead")
 def total_overhead(engine, args):
     return sum((engine.overhead or {}).values())

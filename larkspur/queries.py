@@ -406,7 +406,19 @@ control_plane("control_guards", ("open", q.EvaluateIf(q.Equals(1, 1), q.Plus(1,
 control_plane("control_settings", ("knob", _restored("spark.sql.shuffle.partitions", q.Set(s.maxThreads, 7), lambda engine: engine.spark.conf.get("spark.sql.shuffle.partitions"))), ("threads", _restored("spark.sql.files.minPartitionNum", q.SetNumThreads(3), lambda engine: engine.spark.conf.get("spark.sql.files.minPartitionNum"))), ("spans", _restored("spark.sql.files.minPartitionNum", q.SetNumSpansOut(5), lambda engine: engine.spark.conf.get("spark.sql.files.minPartitionNum"))), ("parallel", q.Let(_COUNT(q.Table(s.nation)), q.Parallel(2))), ("cleared", q.ClearCaches()), sql="select '7' knob, '3' threads, '5' spans, '[(' || count(*) || ',)]' parallel, 'true' cleared from nation")
 control_plane("control_errors", ("unknown", q.NoSuchHead(q.Plus(1, 2))), ("failed", lambda engine, d: engine.safe_evaluate(q.Table(s.no_such_table)).head), ("knows", lambda engine, d: Sym("Group") in engine.evaluate(q.GetEngineCapabilities()).args), ("absent", q.GetEncodingFor("x", s.no_such_column)), sql="select 'NoSuchHead(3)' unknown, case when true then 'ErrorWhenEvaluatingExpression' end failed, 'true' knows, 'InvalidKeyForColumn(''x'', no_such_column)' \"absent\"")
 control_plane("control_tables", q.SaveTable(T("region"), s.kept), ("kept", _COUNT(q.GetTable(s.kept))), ("cleared", q.ClearTables()), ("gone", lambda engine, d: engine.safe_evaluate(q.GetTable(s.kept)).head), sql="select '[(' || count(*) || ',)]' kept, 'true' cleared, 'ErrorWhenEvaluatingExpression' gone from region")
-control_plane("control_overhead", q.StartTrackingOverhead(), T("region"), ("some", lambda engine, d: engine.evaluate(q.GetTotalOverhead()) > 0), ("same", lambda engine, d: engine.evaluate(q.GetOverhead("region")) == engine.evaluate(q.GetTotalOverhead())), ("length", lambda engine, d: engine.evaluate(q.GetFileLength(f"{d}/region.parquet")) == engine.evaluate(q.GetTotalOverhead())), ("stopped", q.StopTrackingOverhead()), sql="select 'true' \"some\", 'true' same, 'true' length, 'true' stopped")
+def _tracked(e, url: str = ""):
+    """The bytes that tracking tells for a query."""
+
+    def run(engine) -> int:
+        engine.evaluate(q.StartTrackingOverhead())
+        engine.evaluate(e)
+        return engine.evaluate(q.GetOverhead(url) if url else q.GetTotalOverhead())
+
+    return run
+
+
+_whole, _narrow = _tracked(T("orders")), _tracked(tpch.table("orders", "o_orderkey"))
+control_plane("control_overhead", ("some", lambda engine, d: 0 < _narrow(engine) < _whole(engine)), ("same", lambda engine, d: _tracked(T("orders"), "orders")(engine) == _whole(engine)), ("other", lambda engine, d: _tracked(T("orders"), "nation")(engine)), ("length", lambda engine, d: engine.evaluate(q.GetFileLength(f"{d}/orders.parquet")) > _whole(engine)), ("stopped", q.StopTrackingOverhead()), sql="select 'true' \"some\", 'true' same, '0' other, 'true' length, 'true' stopped")
 control_plane("control_readers", ("parsed", q.Parse(to_json(q.Plus(1, q.Times(2, 3))))), ("bytes", q.Parse(q.ByteSequence(to_json(q.Plus(1, 1))))), ("path", lambda engine, d: engine.evaluate(read_path("1/:Plus/2"))), ("fetched", lambda engine, d: _files_read(engine.evaluate(q.Fetch(f"{d}/region.parquet", f"{d}/nation.parquet")))), sql="select '7' parsed, '2' bytes, '3' path, '2' fetched")
 
 
