@@ -92,6 +92,16 @@ for _name, (_build, _given, _sql, _digits) in _TPCH.items():
     expression(f"tpch_{_name}", _build(**_given), _sql, _digits)
     expression(f"tpch_{_name}_staged", _build(**_given, staged=True), _sql, _digits, staged=True)
 
+# Q1 and Q6 over positions that the dates pick, and over a scan that has the dates as bounds.
+_SHIPPED, _YEAR = q.Greater(tpch.date("1998-08-31"), s.l_shipdate), q.And(q.Greater(tpch.date("1997-01-01"), s.l_shipdate), q.Greater(s.l_shipdate, tpch.date("1995-12-31")))
+_Q6_GIVEN = _TPCH["q6"][1]
+for _form, _lines1, _lines6 in (
+    ("gathered", lambda d: tpch.gathered(f"{d}/lineitem.parquet", _SHIPPED, s.l_shipdate, *tpch.Q1_COLUMNS), lambda d: tpch.gathered(f"{d}/lineitem.parquet", _YEAR, s.l_shipdate, *tpch.Q6_COLUMNS)),
+    ("bounded", lambda d: tpch.bounded(f"{d}/lineitem.parquet", {"l_shipdate": (q.DateObject("1900-01-01"), q.DateObject("1998-08-30"))}, *tpch.Q1_COLUMNS), lambda d: tpch.bounded(f"{d}/lineitem.parquet", {"l_shipdate": (q.DateObject("1996-01-01"), q.DateObject("1996-12-31")), "l_discount": (0.0499, 0.07001)}, *tpch.Q6_COLUMNS)),
+):
+    expression(f"tpch_q1_{_form}", lambda d, f=_lines1: tpch.q1(lines=f(d)), _Q1, _Q1_DIGITS)
+    expression(f"tpch_q6_{_form}", lambda d, f=_lines6: tpch.q6(**_Q6_GIVEN, lines=f(d)), _Q6, {"revenue": 2})
+
 # -- time series -------------------------------------------------------------------
 
 _SEGMENTS = "(select event_id // 100 c_seq_no, min(ts) start_time from events group by 1)"
