@@ -112,6 +112,13 @@ def worker_cache(name: str, make):
     return getattr(held, name)
 
 
+def small_batches(batches, rows: int = 1024):
+    """Arrow batches cut into slices of some rows, so that few texts at a time become Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_mapped(df: DataFrame, run, added: list[T.StructField]) -> DataFrame:
     """`df` with further columns that `run` computes in Arrow batches.
 
@@ -125,7 +132,7 @@ def with_mapped(df: DataFrame, run, added: list[T.StructField]) -> DataFrame:
     def packed(batches):
         import pyarrow as pa
 
-        for batch, more in run(batches):
+        for batch, more in run(small_batches(batches)):
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
 
     return df.toDF(*names[:width]).mapInArrow(packed, schema).toDF(*[f.name for f in fields])

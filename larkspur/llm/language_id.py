@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, quoted, with_mapped, worker_cache
+from .common import fresh, quoted, small_batches, with_mapped, worker_cache
 
 #: Code point ranges of scripts, from the Unicode block charts.  Letters outside are script 0.
 SCRIPT_RANGES = [
@@ -107,7 +107,7 @@ def train_counts(training: DataFrame, text_col: str, lang_col: str) -> DataFrame
 
     def run(batches):
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in small_batches(batches):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, some in _chunks(texts):
                 words = Words(some)

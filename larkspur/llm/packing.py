@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import quoted, worker_cache
+from .common import quoted, small_batches, worker_cache
 from .tokens import Encoder, default_vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -191,7 +191,7 @@ def pack(
         names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
         give = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
         held, full = 0, block_ids
-        for batch in batches:
+        for batch in small_batches(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(encoder.encode_one(text), np.uint32(end_id)).astype("<u4")
                 end = ends[ids]
