@@ -92,21 +92,23 @@ def removed(df: DataFrame) -> None:
 
 
 def worker_cache(name: str, make):
-    """What `make` gives, kept in a Python worker for the tasks of a stage.
+    """What `make` gives, kept in a Python worker for the tasks of an operator's stages.
 
     Workers outlive stages; what other stages kept is dropped first, and its memory
     goes back to the system, so that a pipeline's operators do not add up."""
     held = sys.modules.setdefault("_larkspur_worker_cache", types.ModuleType("_larkspur_worker_cache"))
     context = TaskContext.get()
     stage = context.stageId() if context else None
-    if getattr(held, "of_stage", stage) != stage:
+    # Stages that ask for the same thing first are of one operator; it keeps what it has.
+    if getattr(held, "of_stage", stage) != stage and held.asked_first != name:
         for other in [x for x in vars(held) if not x.startswith("__")]:
             delattr(held, other)
         gc.collect()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:  # glibc alone has it
             trim(0)
-    held.of_stage = stage
+    if getattr(held, "of_stage", held) != stage:
+        held.of_stage, held.asked_first = stage, name
     if not hasattr(held, name):
         setattr(held, name, make())
     return getattr(held, name)
