@@ -305,3 +305,29 @@ def test_no_dictionary_at_a_url(spark, tmp_path):
     spark.createDataFrame([(1, "x")], "k long, v string").write.parquet(str(tmp_path / "t"))
     with pytest.raises(KeyError):
         Engine(spark).evaluate(q.GetEncodingForFromURL("x", s.k, str(tmp_path / "t")))
+
+
+@pytest.fixture
+def undealt(spark, monkeypatch):
+    """Partitions of a shuffle stay as they are dealt, as those of large tables do; ranges are small."""
+    from larkspur.operators import positions
+
+    monkeypatch.setattr(positions, "SPARSE", 8, raising=False)
+    monkeypatch.setattr(positions, "PER", 256, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_numbers_of_many_rows(spark, undealt):
+    """Numbers are gapless and in order, over more rows than one range holds, with nulls, ties and texts."""
+    from larkspur.operators.positions import add_indices
+
+    df = spark.range(30_000).selectExpr("id", "id * 7919 % 30000 as k", "if(id % 7 = 0, null, cast(id % 1000 as string)) as t", "repeat('x', 20) as more").repartition(6)
+    whole = add_indices(df, "n", ["k"]).collect()
+    assert len(whole) == 30_000 and all(r.n == r.k for r in whole)
+    got = [(r.n, r.t, r.k) for r in add_indices(df, "n", ["t", "k"]).orderBy("n").select("n", "t", "k", "more").collect()]
+    assert [n for n, _, _ in got] == list(range(30_000))
+    assert [(t is None, t or "", k) for _, t, k in got] == sorted((t is None, t or "", k) for _, t, k in got)
+    tied = add_indices(df, "n", ["t"]).select("n", "t").orderBy("n").collect()
+    assert [r.n for r in tied] == list(range(30_000)) and [r.t for r in tied] == [t for _, t, _ in got]
