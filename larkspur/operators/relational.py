@@ -171,7 +171,7 @@ def interpolate(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     from .positions import add_indices
 
     keys = [f"ip__k{i}" for i in range(len(by))]
-    rows = add_indices(df.withColumns({k: column(c) for k, c in zip(keys, by)}), "ip__n", [*keys, x]).withColumn("ip__run", F.floor(F.col("ip__n") / RUN))
+    rows = add_indices(df.withColumns({k: column(c) for k, c in zip(keys, by)}), "ip__n", [*keys, x, y]).withColumn("ip__run", F.floor(F.col("ip__n") / RUN))
     own, value = Window.partitionBy(*keys, "ip__run").orderBy("ip__n"), column(y)
     before = F.last(value, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(value, ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))

@@ -331,3 +331,13 @@ def test_numbers_of_many_rows(spark, undealt):
     assert [(t is None, t or "", k) for _, t, k in got] == sorted((t is None, t or "", k) for _, t, k in got)
     tied = add_indices(df, "n", ["t"]).select("n", "t").orderBy("n").collect()
     assert [r.n for r in tied] == list(range(30_000)) and [r.t for r in tied] == [t for _, t, _ in got]
+
+
+def test_interpolation_of_many_rows(spark, undealt):
+    """No row is lost and each null gets the mean of its neighbours, over more rows than one run or range holds."""
+    from larkspur.operators.relational import interpolate
+
+    df = spark.range(30_006).selectExpr("id % 3 as g", "id as x", "if(id % 9 < 3, null, 2.0D * id) as y", "repeat('x', 20) as more").repartition(6)
+    out = interpolate(df, "x", "y", ["g"])
+    assert out.count() == 30_006 and out.where("y = 2.0D * x").count() == 30_003
+    assert sorted(r.x for r in out.where("y is null").collect()) == [0, 1, 2]
