@@ -341,3 +341,11 @@ def test_interpolation_of_many_rows(spark, undealt):
     out = interpolate(df, "x", "y", ["g"])
     assert out.count() == 30_006 and out.where("y = 2.0D * x").count() == 30_003
     assert sorted(r.x for r in out.where("y is null").collect()) == [0, 1, 2]
+
+
+def test_partial_table_of_many_rows(spark, engine, undealt):
+    """Rows stay at the positions named, over more rows than one range holds."""
+    df = spark.range(30_000).selectExpr("id as pos", "id * 3 as value", "if(id % 10 = 4, id, null) as wanted", "repeat('x', 20) as more").repartition(6)
+    engine.catalog["many"] = df
+    out = engine.evaluate(q.PartialTable(s.many, s.wanted))
+    assert out.count() == 3_000 and out.where("pos = wanted and value = 3 * wanted").count() == 3_000
