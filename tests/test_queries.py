@@ -86,3 +86,15 @@ def test_long_ranges_build_no_array(spark):
     got = sorted((r.pos, r.name) for r in range_join(df, "pos", ranges, "a", "b").collect())
     assert got == [(5, "x"), (7, "x"), (7, "y"), (10**9 + 4, "x")]
     assert _pieces(ranges.selectExpr("a range__a", "b range__b")).count() < 10**9 / 60_000
+
+
+def test_partial_table_of_any_ids(spark, tmp_path):
+    """Ids with gaps, that come twice, or null, give what the SQL gives."""
+    rows = "select if(id % 50 = 7, null, id * 1000003 div 3 * if(id % 11 = 0, 0, 1)) event_id, if(id % 5 = 1, 'purchase', 'view') event_type, id * 0.5D value from range(2000)"
+    spark.sql(rows).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    name = "partial_table"
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = sorted((tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()), key=key)
+    assert got == sorted(con.execute(queries.ORACLES[name]).fetchall(), key=key) and len(got) == 400
